@@ -47,41 +47,44 @@ def _bigrams(text: Column) -> Column:
     )
 
 
+def _grams(df: DataFrame, key: str) -> DataFrame:
+    """One row per bigram of the plain text (channel 0) and of its sorted words (1)."""
+    texts = F.array(F.col(key), sort_tokens(F.col(key)))
+    spelled = df.select(key, F.posexplode(texts).alias("channel", "_text"))
+    return spelled.select(
+        key,
+        "channel",
+        F.length("_text").cast("int").alias("len"),
+        F.explode(_bigrams(F.col("_text"))).alias("gram"),
+    )
+
+
 def _prefixes(grams: DataFrame, frequency: DataFrame, key: str, cutoff: float) -> DataFrame:
     """The rarest bigrams of each string, as many as the cut-off calls for."""
     keep = F.col("len") + 1 - F.ceil(F.lit((2 * cutoff - 100) / 100) * F.col("len") - F.lit(_SLACK))
-    window = Window.partitionBy(key).orderBy(F.coalesce(F.col("n"), F.lit(0)), "gram")
+    window = Window.partitionBy(key, "channel").orderBy(F.coalesce(F.col("n"), F.lit(0)), "gram")
     return (
-        grams.join(frequency, "gram", "left")
+        grams.join(frequency, ["channel", "gram"], "left")
         .withColumn("place", F.row_number().over(window))
         .filter(F.col("place") <= keep)
-        .select(key, "len", "gram")
+        .select(key, "channel", "len", "gram")
     )
 
 
-def edit_candidates(
-    names: DataFrame, choices: DataFrame, cutoff: float, order_free: bool = False
-) -> DataFrame:
+def edit_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
     """Pairs (name_key, choice_key) that may reach ``cutoff``; every pair that does is among them.
 
     ``names`` has a distinct ``name_key``, ``choices`` a distinct ``choice_key``.
     """
     if cutoff <= 50:
         raise ValueError("the prefix bound needs a cut-off above 50")
-
-    def explode(df: DataFrame, key: str) -> DataFrame:
-        text = sort_tokens(F.col(key)) if order_free else F.col(key)
-        return df.select(
-            key, F.length(text).cast("int").alias("len"), F.explode(_bigrams(text)).alias("gram")
-        )
-
-    left, right = explode(names, "name_key"), explode(choices, "choice_key")
-    frequency = right.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    left, right = _grams(names, "name_key"), _grams(choices, "choice_key")
+    frequency = right.groupBy("channel", "gram").agg(F.count(F.lit(1)).alias("n"))
     a = _prefixes(left, frequency, "name_key", cutoff)
     b = _prefixes(right, frequency, "choice_key", cutoff).withColumnRenamed("len", "len_b")
     longest = F.greatest("len", "len_b")
     near = F.abs(F.col("len") - F.col("len_b")) <= F.lit((100 - cutoff) / 100) * longest + F.lit(_SLACK)
-    return a.join(b, "gram").filter(near).select("name_key", "choice_key").distinct()
+    return a.join(b, ["channel", "gram"]).filter(near).select("name_key", "choice_key").distinct()
 
 
 def best_matches(names: DataFrame, choices: DataFrame, cutoff: float = 80.0) -> DataFrame:
@@ -92,12 +95,7 @@ def best_matches(names: DataFrame, choices: DataFrame, cutoff: float = 80.0) ->
     """
     keys = names.select("name_key").filter(F.col("name_key") != "").distinct()
     options = choices.filter(F.col("choice_key") != "")
-    distinct_options = options.select("choice_key").distinct()
-    pairs = (
-        edit_candidates(keys, distinct_options, cutoff)
-        .union(edit_candidates(keys, distinct_options, cutoff, order_free=True))
-        .distinct()
-    )
+    pairs = edit_candidates(keys, options.select("choice_key").distinct(), cutoff)
     scored = pairs.withColumn(
         "score", name_similarity(F.col("name_key"), F.col("choice_key"))
     ).filter(F.col("score") >= cutoff)

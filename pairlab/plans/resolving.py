@@ -161,11 +161,11 @@ def resolve_cascade(spark, sf):
 )
 def resolve_report(spark, sf):
     """Rows and names per tier over the whole part table, and how many are right."""
-    rows = resolve.attach_ids(spelled_parts(spark, sf), _cascade(spark, sf), {"name": "got"})
-    methods = _cascade(spark, sf).select("name", "method")
+    mapping = _cascade(spark, sf).select("name", F.col("entity_id").alias("got"), "method")
     truth = canonical_parts(spark, sf).withColumnRenamed("canonical_name", "p_name")
     return (
-        rows.join(methods, "name", "left")
+        spelled_parts(spark, sf)
+        .join(mapping, "name", "left")
         .join(truth, "p_name")
         .groupBy("method")
         .agg(
