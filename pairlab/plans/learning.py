@@ -1 +1,115 @@
+"""Queries that fit Spark ML models on the pair features. Fits are kept small here."""
 
+from __future__ import annotations
+
+from pairlab.operators import ensemble, evaluation
+from pairlab.plans import views
+from pairlab.plans.registry import register, rounded
+from pairlab.plans.scoring import meta_columns
+from pairlab.session import cut_lineage, scratch_path
+
+SELECTED = ("seed_diff", "margin_gap", "diff_qty_season", "diff_price_last3", "diff_ret_away", "pctdiff_tax_season")
+CLOSE = ("seed_pct_diff", "log_seed_ratio", "diff_qty_last3", "diff_awaygap_price", "diff_price_season")
+LATE = ("seed_pct_diff", "log_seed_ratio", "diff_price_season", "diff_disc_away", "diff_never_collected")
+CURATED = ("seed_diff", "seed_sum", "volume_index", "diff_price_season")
+SPECIALISTS = ensemble.with_iterations(
+    ensemble.default_specialists(SELECTED, CLOSE, LATE, CURATED), iterations=3, trees=8
+)
+BY_NAME = {s.name: s for s in SPECIALISTS}
+KEEP = ("game_id", "period", "winner", "seed_diff", "seed_sum", "seed_pct_diff", "log_seed_ratio",
+        "round_number", "round_group", "seed_diff_bucket")
+PREDS = [f"p_{s.name}" for s in SPECIALISTS]
+
+
+def training_frame(spark, sf):
+    """The columns the models use, stored once: every fold and fit reads them again."""
+    df = views.pair_features(spark, sf)
+    wanted = sorted({f for s in SPECIALISTS for f in s.features if f in df.columns} | set(KEEP))
+    return cut_lineage(df.select(*wanted))
+
+
+def _fit_one(spark, sf, name):
+    df, spec = training_frame(spark, sf), BY_NAME[name]
+    models = {name: ensemble.fit_specialist(df, spec)}
+    scored = ensemble.score_ensemble(df, models, [spec], ["period", "winner"])
+    return rounded(evaluation.metrics(scored, ["period"], f"p_{name}"))
+
+
+@register("fit_general")
+def fit_general(spark, sf):
+    return _fit_one(spark, sf, "general")
+
+
+@register("fit_close")
+def fit_close(spark, sf):
+    return _fit_one(spark, sf, "close")
+
+
+@register("fit_late")
+def fit_late(spark, sf):
+    return _fit_one(spark, sf, "late")
+
+
+@register("fit_forest")
+def fit_forest(spark, sf):
+    return _fit_one(spark, sf, "forest")
+
+
+@register("score_ensemble")
+def score_ensemble(spark, sf):
+    """Three of four specialists; the missing one's column is NULL."""
+    df = training_frame(spark, sf)
+    models = ensemble.fit_all(df, [s for s in SPECIALISTS if s.name != "forest"])
+    return rounded(ensemble.score_ensemble(df, models, SPECIALISTS, ["game_id"]))
+
+
+@register("logo_oof")
+def logo_oof(spark, sf):
+    """Out-of-fold predictions of two specialists for every year."""
+    return rounded(
+        ensemble.out_of_fold(
+            training_frame(spark, sf), [BY_NAME["late"], BY_NAME["forest"]], "period", ["game_id", "period", "winner"]
+        )
+    )
+
+
+@register("fit_meta")
+def fit_meta(spark, sf):
+    """Stacked probability per contest: meta-learner over out-of-fold predictions."""
+    df = training_frame(spark, sf)
+    oof = cut_lineage(
+        ensemble.out_of_fold(df, [BY_NAME["late"], BY_NAME["forest"]], "period", list(KEEP))
+    )
+    preds = ["p_late", "p_forest"]
+    meta = oof.select("game_id", "winner", *meta_columns(preds))
+    features = [c for c in meta.columns if c not in ("game_id", "winner")]
+    model = ensemble.fit_meta(meta, features)
+    return rounded(ensemble.score_meta(meta, model, features, ["game_id", "winner"]))
+
+
+@register("persist_model")
+def persist_model(spark, sf):
+    """Accuracy per year of models that were stored and read back."""
+    df = training_frame(spark, sf)
+    chosen = [BY_NAME["late"], BY_NAME["forest"]]
+    root = scratch_path(spark, "models")
+    ensemble.save_models(ensemble.fit_all(df, chosen), root)
+    loaded = ensemble.load_models(root, [s.name for s in chosen])
+    scored = ensemble.score_ensemble(df, loaded, chosen, ["period", "winner"])
+    long = evaluation.predictions_long(scored, ["p_late", "p_forest"], ["period", "winner"])
+    return rounded(evaluation.metrics(long, ["model", "period"]))
+
+
+@register("legacy_ensemble")
+def legacy_ensemble(spark, sf):
+    """Plain average of boosted trees and a curated logistic regression, by held-out year."""
+    df = training_frame(spark, sf)
+    curated = ensemble.Specialist("curated", "logistic", CURATED, params=ensemble.CURATED_LOGISTIC)
+    return rounded(ensemble.averaged_folds(df, [BY_NAME["general"], curated], "period"))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf):
+    df, spec = training_frame(spark, sf), BY_NAME["general"]
+    model = ensemble.fit_specialist(df, spec)
+    return rounded(ensemble.feature_importance(df, model, spec.features))
