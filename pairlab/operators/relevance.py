@@ -121,11 +121,15 @@ def mi_knn(
     data = long.select("feature", "x", F.col(label).alias("_y"))
     members = data.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_members"))
     data = data.join(members.filter(F.col("_members") > 1), ["feature", "_y"])
-    weighted = data.groupBy("feature", "x", "_y").agg(
-        F.count(F.lit(1)).alias("w"), F.first("_members").alias("members")
+    # Read six times below, so it is stored: one shuffle instead of six.
+    weighted = cut_lineage(
+        data.groupBy("feature", "x", "_y").agg(
+            F.count(F.lit(1)).alias("w"), F.first("_members").alias("members")
+        )
     )
     if buckets is None:
-        most = members.groupBy("feature").agg(F.sum("_members").alias("n")).agg(F.max("n")).first()[0] or 0
+        rows = weighted.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+        most = rows.agg(F.max("n")).first()[0] or 0
         buckets = int(-(-most // rows_per_bucket)) or 1
     side = max(1, round(buckets**0.5))
     marks = F.array(*[F.lit(i / (side * side + 1)) for i in range(1, side * side + 1)])
@@ -144,7 +148,6 @@ def mi_knn(
         weighted.join(cuts, "feature").withColumn("bucket", _bucket(F.col("x"), F.col("_cuts"))).drop("_cuts")
     )
 
-    radius = _radius(placed, k)
     every = cuts.select(
         "feature", F.explode(F.sequence(F.lit(0), F.lit(side * side))).alias("bucket")
     )
@@ -153,7 +156,7 @@ def mi_knn(
     )
     lower = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = mass.select("feature", "bucket", F.coalesce(F.sum("_mass").over(lower), F.lit(0)).alias("_base"))
-    near = _count_nearer(placed, radius, cuts, base)
+    near = _count_nearer(placed, _radius(placed, k), cuts, base)
 
     used = F.least(F.lit(k), F.col("members") - 1)
     sums = near.groupBy("feature").agg(
@@ -169,107 +172,92 @@ def mi_knn(
 
 def _radius(placed: DataFrame, k: int) -> DataFrame:
     """Adds r and the open interval (lo, hi) around each value that m is counted in."""
-    point = F.struct(F.col("x").alias("x"), F.col("w").alias("w"))
-    chain = Window.partitionBy("feature", "_y", "bucket").orderBy("x")
-    first = F.row_number().over(chain)
-    last = F.row_number().over(Window.partitionBy("feature", "_y", "bucket").orderBy(F.desc("x")))
+    group = ["feature", "_y", "bucket"]
+    # A value with many copies needs k + 1 of them: then its k nearest are its own.
+    copies = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("w", F.lit(k + 1)))))
 
-    # Ends of each bucket, at most k values, handed to the buckets around it.
-    def ends(place: Column, name: str) -> DataFrame:
+    # The first and the last k observations of each bucket go to the buckets around it.
+    def ends(order: Column, name: str) -> DataFrame:
+        window = Window.partitionBy(*group).orderBy(order)
         return (
-            placed.withColumn("_p", place)
+            copies.select(*group, "x", F.row_number().over(window).alias("_p"))
             .filter(F.col("_p") <= k)
-            .groupBy("feature", "_y", "bucket")
-            .agg(F.array_sort(F.collect_list(point)).alias(name))
+            .groupBy(*group)
+            .agg(F.array_sort(F.collect_list("x")).alias(name))
         )
 
-    edge = ends(first, "_head").join(ends(last, "_tail"), ["feature", "_y", "bucket"])
+    edge = ends(F.asc("x"), "_head").join(ends(F.desc("x"), "_tail"), group)
     line = Window.partitionBy("feature", "_y").orderBy("bucket")
-    empty = F.array().cast("array<struct<x:double,w:bigint>>")
-    before = F.concat(*[F.coalesce(F.lag("_tail", i).over(line), empty) for i in range(k, 0, -1)])
-    after = F.concat(*[F.coalesce(F.lead("_head", i).over(line), empty) for i in range(1, k + 1)])
-    halo = edge.select("feature", "_y", "bucket", before.alias("_before"), after.alias("_after"))
-
-    local = F.array(
-        *[F.lag(point, i).over(chain) for i in range(1, k + 1)],
-        *[F.lead(point, i).over(chain) for i in range(1, k + 1)],
-    )
-    joined = placed.withColumn("_local", F.filter(local, lambda p: p.isNotNull())).join(
-        halo, ["feature", "_y", "bucket"]
-    )
-    x = F.col("x")
-    around = F.transform(
-        F.concat("_local", "_before", "_after"),
-        lambda p: F.struct(F.abs(p["x"] - x).alias("d"), p["x"].alias("x"), p["w"].alias("w")),
+    none = F.array().cast("array<double>")
+    before = F.concat(*[F.coalesce(F.lag("_tail", i).over(line), none) for i in range(k, 0, -1)])
+    after = F.concat(*[F.coalesce(F.lead("_head", i).over(line), none) for i in range(1, k + 1)])
+    outside = F.concat(
+        F.slice("_before", F.greatest(F.size("_before") - k, F.lit(0)) + 1, F.lit(k)),
+        F.slice("_after", 1, k),
     )
-    ranked = joined.withColumn("_near", F.array_sort(around)).withColumn(
-        "_need", F.least(F.lit(k), F.col("members") - 1)
+    halo = (
+        edge.select(*group, before.alias("_before"), after.alias("_after"))
+        .select(*group, F.explode(outside).alias("x"))
+        .withColumn("copy", F.lit(0))
     )
-    # Walk outwards until the neighbours, the value's own copies included, reach k.
-    start = F.struct((F.col("w") - 1).alias("seen"), F.lit(0.0).alias("r"))
-    walked = F.aggregate(
-        "_near",
-        start,
-        lambda acc, p: F.when(acc["seen"] >= F.col("_need"), acc).otherwise(
-            F.struct((acc["seen"] + p["w"]).alias("seen"), p["d"].alias("r"))
-        ),
-    )
-    out = ranked.withColumn("r", walked["r"])
-    # The nearest neighbours at r or beyond bound the interval, whatever x ± r rounds to.
-    beyond = F.filter("_near", lambda p: p["d"] >= F.col("r"))
-    left = F.array_max(F.transform(F.filter(beyond, lambda p: p["x"] < x), lambda p: p["x"]))
-    right = F.array_min(F.transform(F.filter(beyond, lambda p: p["x"] > x), lambda p: p["x"]))
-    return out.select(
-        "feature",
-        "_y",
-        "x",
-        "w",
-        "members",
-        "r",
-        F.greatest(x - F.col("r"), left).alias("lo"),
-        F.least(x + F.col("r"), right).alias("hi"),
+
+    chain = Window.partitionBy(*group).orderBy("x")
+    x, far = F.col("x"), F.lit(float("inf"))
+    below = [F.col(f"_b{i}") for i in range(1, k + 1)]
+    above = [F.col(f"_a{i}") for i in range(1, k + 1)]
+    seen = (
+        copies.select(*group, "x", "w", "members", "copy")
+        .unionByName(halo, allowMissingColumns=True)
+        .select(
+            *group, "x", "w", "members", "copy",
+            *[F.lag("x", i).over(chain).alias(f"_b{i}") for i in range(1, k + 1)],
+            *[F.lead("x", i).over(chain).alias(f"_a{i}") for i in range(1, k + 1)],
+        )
+        .filter(F.col("copy") == 1)
     )
+    # The k nearest are i on one side and k - i on the other.
+    left = [F.lit(0.0), *[F.coalesce(x - b, far) for b in below]]
+    right = [F.lit(0.0), *[F.coalesce(a - x, far) for a in above]]
+    kth = F.least(*[F.greatest(left[i], right[k - i]) for i in range(k + 1)])
+    farthest = F.greatest(*[x - b for b in below], *[a - x for a in above])
+    out = seen.withColumn("r", F.when(F.col("members") > k, kth).otherwise(farthest))
+    # A neighbour at r or beyond bounds the interval, whatever x ± r rounds to.
+    r = F.col("r")
+    floor = F.greatest(x - r, *[F.when((x - b >= r) & (b < x), b) for b in below])
+    ceiling = F.least(x + r, *[F.when((a - x >= r) & (a > x), a) for a in above])
+    return out.select("feature", "_y", "x", "w", "members", "r", floor.alias("lo"), ceiling.alias("hi"))
 
 
 def _count_nearer(placed: DataFrame, radius: DataFrame, cuts: DataFrame, base: DataFrame) -> DataFrame:
-    """Adds m: observations of any class with lo < x < hi, or equal to x where r is 0."""
-    exact = placed.groupBy("feature", "x").agg(F.sum("w").alias("_same"))
-    tied = (
-        radius.filter(F.col("r") == 0)
-        .join(exact, ["feature", "x"])
-        .select("feature", "w", "members", F.col("_same").alias("m"))
-    )
-    open_ = radius.filter(F.col("r") > 0)
-    # A query sorts among the values of its bucket: after equal ones at the lower
-    # bound (those are left out too), before equal ones at the upper bound.
-    bounds = open_.select(
-        "feature",
-        "_y",
-        "x",
+    """(feature, w, members, m): observations of any class with lo < x < hi, or equal to x where r is 0."""
+    # A bound sorts among the values of its bucket, before equal ones (kind 0) or
+    # after them (kind 2): the interval is open, but closed where it is a point.
+    point = F.col("r") == 0
+    bounds = radius.select(
+        "feature", "_y", "x", "w", "members",
         F.explode(
             F.array(
-                F.struct(F.col("lo").alias("at"), F.lit(2).alias("kind")),
-                F.struct(F.col("hi").alias("at"), F.lit(0).alias("kind")),
+                F.struct(F.col("lo").alias("at"), F.when(point, 0).otherwise(2).alias("kind"), F.lit(-1).alias("sign")),
+                F.struct(F.col("hi").alias("at"), F.when(point, 2).otherwise(0).alias("kind"), F.lit(1).alias("sign")),
             )
         ).alias("q"),
-    ).select("feature", "_y", "x", "q.at", "q.kind")
-    queries = (
-        bounds.join(cuts, "feature").withColumn("bucket", _bucket(F.col("at"), F.col("_cuts"))).drop("_cuts")
-    )
-    events = queries.withColumn("w", F.lit(0).cast("bigint")).unionByName(
-        placed.select("feature", "bucket", F.col("x").alias("at"), F.lit(1).alias("kind"), "w"),
+    ).select("feature", "_y", "x", "w", "members", "q.*")
+    queries = bounds.join(cuts, "feature").withColumn("bucket", _bucket(F.col("at"), F.col("_cuts"))).drop("_cuts")
+    events = queries.withColumn("_mass", F.lit(0).cast("bigint")).unionByName(
+        placed.select(
+            "feature", "bucket", F.col("x").alias("at"), F.lit(1).alias("kind"), F.col("w").alias("_mass")
+        ),
         allowMissingColumns=True,
     )
     sweep = Window.partitionBy("feature", "bucket").orderBy("at", "kind")
-    placed_queries = events.withColumn("_upto", F.sum("w").over(sweep)).filter(F.col("kind") != 1)
-    counted = placed_queries.join(base, ["feature", "bucket"]).withColumn(
-        "_rank", F.col("_upto") + F.col("_base")
-    )
-    sides = counted.groupBy("feature", "_y", "x").agg(
-        F.max(F.when(F.col("kind") == 2, F.col("_rank"))).alias("_upto_lo"),
-        F.max(F.when(F.col("kind") == 0, F.col("_rank"))).alias("_below_hi"),
-    )
-    spread = open_.join(sides, ["feature", "_y", "x"]).select(
-        "feature", "w", "members", (F.col("_below_hi") - F.col("_upto_lo")).alias("m")
+    placed_queries = events.withColumn("_upto", F.sum("_mass").over(sweep)).filter(F.col("kind") != 1)
+    rank = F.col("_upto") + F.col("_base")
+    return (
+        placed_queries.join(base, ["feature", "bucket"])
+        .groupBy("feature", "_y", "x")
+        .agg(
+            F.first("w").alias("w"),
+            F.first("members").alias("members"),
+            F.sum(F.col("sign") * rank).alias("m"),
+        )
     )
-    return tied.unionByName(spread)
