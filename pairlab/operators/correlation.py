@@ -62,7 +62,11 @@ def pearson_matrix(
         if mean is not None:
             yield _gram_rows(n, mean, moment)
 
-    partials = df.select(packed.alias("_v")).mapInPandas(partial, _PARTIAL)
+    # Any one row, taken off all rows, keeps large means from drowning the moments.
+    values = df.select(packed.alias("_v"))
+    paired = values.select("_v", values.limit(1).scalar().alias("_one"))
+    shifted = paired.select(F.zip_with("_v", "_one", lambda v, one: v - one).alias("_v"))
+    partials = shifted.mapInPandas(partial, _PARTIAL)
     merged = partials.groupBy("i", "j").agg(
         (F.sum("c") + F.sum("pij") - F.sum("si") * F.sum("sj") / F.sum("n")).alias("c"),
         F.sum("pij").alias("_raw"),

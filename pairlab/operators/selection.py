@@ -43,8 +43,10 @@ def dedup_correlated(edges: DataFrame, by: Sequence[str] = ("run",)) -> DataFram
         for i, j, ri, rj in ordered[["i", "j", "rank_i", "rank_j"]].itertuples(index=False):
             if i not in gone and j not in gone:
                 gone.add(j if ri <= rj else i)
-        run = {c: frame[c].iloc[0] for c in by}
-        return pd.DataFrame({**{c: [v] * len(gone) for c, v in run.items()}, "dropped": sorted(gone)})
+        out = pd.DataFrame({"dropped": sorted(gone)})
+        for place, c in enumerate(by):
+            out.insert(place, c, frame[c].iloc[0])
+        return out
 
     return edges.groupBy(*by).applyInPandas(scan, f"{kinds}, dropped int")
 

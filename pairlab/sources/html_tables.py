@@ -166,7 +166,8 @@ def html_cells_tolerant(
                     keys.append(page_key)
                     positions.append(pos)
                     cells.append([{"sort": s, "text": t.strip()} for s, t in row])
-            yield pd.DataFrame({key: keys, "row_pos": positions, "cells": cells})
+            if keys:
+                yield pd.DataFrame({key: keys, "row_pos": positions, "cells": cells})
 
     return pages.select(key, body).mapInPandas(
         read, f"`{key}` {key_type}, row_pos int, cells array<{_CELL}>"
