@@ -13,6 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.functions.similarity import (
+    FAR_FROM,
+    FAR_SCALE,
+    PARTIAL_FROM,
+    PARTIAL_SCALE,
+    SHARED_WORD_SCORE,
+    TOKEN_SCALE,
+    weighted_similarity,
+)
 from pairlab.operators.ranking import first_per_key
 
 _SLACK = 1e-9
@@ -87,20 +96,221 @@ def edit_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> Data
     return a.join(b, ["channel", "gram"]).filter(near).select("name_key", "choice_key").distinct()
 
 
-def best_matches(names: DataFrame, choices: DataFrame, cutoff: float = 80.0) -> DataFrame:
+def _word_texts(c: Column) -> Column:
+    """The text, its words sorted, and its distinct words sorted."""
+    words = F.filter(F.split(c, " "), lambda w: w != "")
+    return F.array_distinct(
+        F.array(c, F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " "))
+    )
+
+
+def _rarest(
+    grams: DataFrame, frequency: DataFrame, keys: list[str], keep: Column, item: str = "gram"
+) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy(F.coalesce(F.col("n"), F.lit(0)), item)
+    return (
+        grams.join(frequency, item, "left")
+        .withColumn("_place", F.row_number().over(window))
+        .filter(F.col("_place") <= keep)
+    )
+
+
+def _alike_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
+    """Pairs whose plain, word-sorted or word-set ratio may reach c (0…1).
+
+    Padding with the word separator makes the bigrams of a text independent of
+    the order of its words. Of lengths l and m at ratio c, d = (1 - c)(l + m)
+    characters are unmatched, the matched ones fall into at most d + 1 runs, and
+    m ≥ l c / (2 - c); so (1.5 c - 1) 2 l / (2 - c) + 1 bigrams are shared.
+    """
+
+    def explode(df: DataFrame, key: str) -> DataFrame:
+        texts = df.select(key, F.explode(_word_texts(F.col(key))).alias("_text"))
+        padded = F.concat(F.lit(" "), F.col("_text"), F.lit(" "))
+        grams = F.transform(
+            F.sequence(F.lit(1), F.length("_text") + 1), lambda i: F.substring(padded, i, F.lit(2))
+        )
+        numbered = F.transform(
+            F.sort_array(F.col("_grams")),
+            lambda g, i: F.concat(
+                g,
+                F.size(F.filter(F.slice(F.sort_array(F.col("_grams")), F.lit(1), i + 1), lambda o: o == g)).cast(
+                    "string"
+                ),
+            ),
+        )
+        return texts.withColumn("_grams", grams).select(
+            key, "_text", F.length("_text").alias("_len"), F.explode(numbered).alias("gram")
+        )
+
+    a, b = explode(left, "name_key"), explode(right, "choice_key")
+    frequency = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit((1.5 * c - 1) * 2 / (2 - c))
+    keep = F.col("_len") + 1 - F.ceil(share * F.col("_len") - F.lit(_SLACK))
+    one = _rarest(a, frequency, ["name_key", "_text"], keep).select("name_key", "gram").distinct()
+    two = _rarest(b, frequency, ["choice_key", "_text"], keep).select("choice_key", "gram").distinct()
+    return one.join(two, "gram").select("name_key", "choice_key")
+
+
+def _window_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
+    """Pairs in which the shorter text may match a window of the longer at c (0…1).
+
+    By the same count at least 2 l (1.5 c - 1) / (2 - c) - 1 of the shorter
+    text's bigrams are in the longer text; one-letter texts go by their letter.
+    """
+    share = F.lit((1.5 * c - 1) * 2 / (2 - c))
+
+    def texts(df: DataFrame, key: str) -> DataFrame:
+        return df.select(
+            key, F.length(key).alias("_full"), F.explode(_word_texts(F.col(key))).alias("_text")
+        )
+
+    def bigrams(text: Column) -> Column:
+        n = F.length(text)
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))
+        )
+
+    def everything(df: DataFrame, key: str) -> DataFrame:
+        letters = F.split(F.col("_text"), "")
+        return (
+            texts(df, key)
+            .select(key, "_full", F.explode(F.concat(bigrams(F.col("_text")), letters)).alias("gram"))
+            .filter(F.col("gram") != "")
+            .distinct()
+        )
+
+    def rare(df: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
+        grams = texts(df, key).select(
+            key, "_full", "_text", F.length("_text").alias("_len"), F.posexplode(bigrams(F.col("_text"))).alias("_p", "gram")
+        )
+        need = F.ceil(share * F.col("_len") - 1 - F.lit(_SLACK))
+        keep = F.greatest(F.col("_len") - need, F.lit(1))
+        return _rarest(grams, frequency, [key, "_text"], keep).select(key, "_full", "gram").distinct()
+
+    out = None
+    for short, long, short_key, long_key in (
+        (left, right, "name_key", "choice_key"),
+        (right, left, "choice_key", "name_key"),
+    ):
+        index = everything(long, long_key).withColumnRenamed("_full", "_full_long")
+        frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        # Either side: dropping repeated words can make the longer name's text the shorter.
+        apart = F.greatest("_full_long", "_full") / F.least("_full_long", "_full")
+        pairs = (
+            rare(short, short_key, frequency)
+            .join(index, "gram")
+            .filter((apart >= PARTIAL_FROM) & (apart <= FAR_FROM))
+            .select("name_key", "choice_key")
+        )
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _words(df: DataFrame, key: str) -> DataFrame:
+    words = F.array_distinct(F.filter(F.split(F.col(key), " "), lambda w: w != ""))
+    return df.select(key, F.length(key).alias("_full"), words.alias("_words"))
+
+
+def _subset_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
+    """Pairs where shared words make up so much of one side that the set ratio may reach c.
+
+    Words not shared then weigh at most β / (1 + β) of that side, with
+    β = 2 (1 - c) / c; so one of its rarest words beyond that weight is shared.
+    """
+    beta = 2 * (1 - c) / c
+    limit = beta / (1 + beta)
+
+    out = None
+    for one, other, one_key, other_key in (
+        (left, right, "name_key", "choice_key"),
+        (right, left, "choice_key", "name_key"),
+    ):
+        index = _words(other, other_key).select(
+            other_key, F.col("_full").alias("_other"), F.explode("_words").alias("word")
+        )
+        frequency = index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        words = _words(one, one_key)
+        total = F.aggregate("_words", F.lit(0), lambda acc, w: acc + F.length(w) + 1)
+        weighed = words.select(one_key, "_full", total.alias("_total"), F.explode("_words").alias("word"))
+        line = (
+            Window.partitionBy(one_key)
+            .orderBy(F.coalesce(F.col("n"), F.lit(0)), "word")
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        before = F.coalesce(F.sum(F.length("word") + 1).over(line), F.lit(0))
+        rare = (
+            weighed.join(frequency, "word", "left")
+            .withColumn("_before", before)
+            .filter(F.col("_before") <= F.lit(limit) * F.col("_total") + F.lit(_SLACK))
+        )
+        spread = F.greatest("_full", "_other") / F.least("_full", "_other")
+        pairs = rare.join(index, "word").filter(spread < PARTIAL_FROM).select("name_key", "choice_key")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _shared_word_best(names: DataFrame, choices: DataFrame) -> DataFrame:
+    """First choice that shares a word at a length where that alone sets the score.
+
+    All such pairs score the same, so a choice is kept per word and length and
+    no pairs are formed, however common the word.
+    """
+    first = F.min(F.struct("entity_id", "choice_key")).alias("_first")
+    index = (
+        choices.select("entity_id", "choice_key", F.length("choice_key").alias("_other"), F.explode(
+            F.array_distinct(F.filter(F.split("choice_key", " "), lambda w: w != ""))).alias("word"))
+        .groupBy("word", "_other")
+        .agg(first)
+    )
+    words = _words(names, "name_key").select("name_key", "_full", F.explode("_words").alias("word"))
+    spread = F.greatest("_full", "_other") / F.least("_full", "_other")
+    met = words.join(index, "word").filter((spread >= PARTIAL_FROM) & (spread <= FAR_FROM))
+    return (
+        met.groupBy("name_key")
+        .agg(F.min("_first").alias("_first"))
+        .select("name_key", "_first.choice_key", "_first.entity_id", F.lit(SHARED_WORD_SCORE).alias("score"))
+    )
+
+
+def weighted_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs that may reach the cut-off of the weighted ratio other than by one shared word."""
+    c = cutoff / 100
+    return (
+        _alike_candidates(names, choices, c)
+        .unionByName(_window_candidates(names, choices, c / PARTIAL_SCALE))
+        .unionByName(_subset_candidates(names, choices, c / TOKEN_SCALE))
+        .distinct()
+    )
+
+
+def best_matches(
+    names: DataFrame, choices: DataFrame, cutoff: float = 80.0, scorer: str = "weighted"
+) -> DataFrame:
     """(name_key, choice_key, entity_id, score): best choice at or above the cut-off.
 
-    Ties go to the lowest entity, then to the first key. Names are compared as
-    they are and with their words sorted.
+    Ties go to the lowest entity, then to the first key. ``weighted`` is the
+    weighted ratio, scored by an Arrow UDF on the candidate pairs; ``edit`` is the
+    better edit similarity of the names and of their sorted words, in the JVM.
+    Both find what comparing every name with every choice would.
     """
-    keys = names.select("name_key").filter(F.col("name_key") != "").distinct()
-    options = choices.filter(F.col("choice_key") != "")
-    pairs = edit_candidates(keys, options.select("choice_key").distinct(), cutoff)
-    scored = pairs.withColumn(
-        "score", name_similarity(F.col("name_key"), F.col("choice_key"))
-    ).filter(F.col("score") >= cutoff)
+    keys = names.select("name_key").filter(F.trim("name_key") != "").distinct()
+    options = choices.select("choice_key", "entity_id").filter(F.trim("choice_key") != "")
+    distinct = options.select("choice_key").distinct()
+    if scorer == "edit":
+        pairs = edit_candidates(keys, distinct, cutoff)
+        score = name_similarity(F.col("name_key"), F.col("choice_key"))
+    elif scorer == "weighted":
+        if cutoff <= 100 * max(FAR_SCALE, 2 / 3):
+            raise ValueError("the weighted ratio needs a cut-off above 66.7")
+        pairs = weighted_candidates(keys, distinct, cutoff)
+        score = weighted_similarity(F.col("name_key"), F.col("choice_key"))
+    else:
+        raise ValueError(f"unknown scorer {scorer!r}")
+    scored = pairs.withColumn("score", score).filter(F.col("score") >= cutoff)
+    found = scored.join(options, "choice_key").select("name_key", "choice_key", "entity_id", "score")
+    if scorer == "weighted" and cutoff <= SHARED_WORD_SCORE:
+        found = found.unionByName(_shared_word_best(keys, options))
     return first_per_key(
-        scored.join(options.select("choice_key", "entity_id"), "choice_key"),
-        ["name_key"],
-        [F.desc("score"), F.col("entity_id"), F.col("choice_key")],
+        found, ["name_key"], [F.desc("score"), F.col("entity_id"), F.col("choice_key")]
     ).select("name_key", "choice_key", "entity_id", "score")

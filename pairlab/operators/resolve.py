@@ -58,6 +58,7 @@ def resolve_cascade(
     overrides: DataFrame,
     name: str = "name",
     cutoff: float | None = 80.0,
+    scorer: str = "weighted",
 ) -> DataFrame:
     """(name, entity_id, method, score), one row per distinct name that is not NULL.
 
@@ -74,7 +75,7 @@ def resolve_cascade(
         joined = staged
     else:
         leftovers = staged.filter(sure.isNull() & ~blank).select("name_key").distinct()
-        matches = best_matches(leftovers, variants, cutoff).select(
+        matches = best_matches(leftovers, variants, cutoff, scorer).select(
             "name_key", F.col("entity_id").alias("fuzzy_id"), F.col("score").alias("fuzzy_score")
         )
         joined = staged.join(matches, "name_key", "left")
@@ -107,12 +108,13 @@ def resolve_pairs(
     overrides: DataFrame,
     sides: dict[str, str],
     cutoff: float | None = 80.0,
+    scorer: str = "weighted",
 ) -> DataFrame:
     """Resolve the distinct names of all sides once, then attach the ids."""
     first, *rest = [df.select(F.col(n).alias("name")).distinct() for n in sides]
     for part in rest:
         first = first.union(part)
-    return attach_ids(df, resolve_cascade(first, index, overrides, cutoff=cutoff), sides)
+    return attach_ids(df, resolve_cascade(first, index, overrides, cutoff=cutoff, scorer=scorer), sides)
 
 
 def id_to_name(ids: DataFrame, index: DataFrame, key: str) -> DataFrame:
@@ -120,7 +122,9 @@ def id_to_name(ids: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return ids.join(lookup, key, "left")
 
 
-def build_index(canon: DataFrame, overrides: DataFrame, names: DataFrame, cutoff: float = 85.0) -> DataFrame:
+def build_index(
+    canon: DataFrame, overrides: DataFrame, names: DataFrame, cutoff: float = 85.0, scorer: str = "weighted"
+) -> DataFrame:
     """Add variants to a directory (``entity_id``, ``canonical_name``).
 
     Every override whose target is in the directory becomes a variant. A source
@@ -142,7 +146,7 @@ def build_index(canon: DataFrame, overrides: DataFrame, names: DataFrame, cutoff
     fresh = keyed.join(base.select(F.col("choice_key").alias("name_key")), "name_key", "left_anti").join(
         overrides.select(F.col("variant").alias("name")), "name", "left_anti"
     )
-    fuzzy = fresh.join(best_matches(fresh, base, cutoff).select("name_key", "entity_id"), "name_key").select(
+    fuzzy = fresh.join(best_matches(fresh, base, cutoff, scorer).select("name_key", "entity_id"), "name_key").select(
         "entity_id", F.col("name").alias("alt")
     )
     alts = known.union(fuzzy).groupBy("entity_id").agg(F.array_sort(F.collect_set("alt")).alias("alt_names"))

@@ -139,12 +139,22 @@ def resolve_fuzzy(spark, sf):
         spelled_parts(spark, sf).select("name").filter("name is not null").distinct(),
         resolve.variant_dimension(part_index(spark, sf)),
     )
-    return rounded(best_matches(keyed.select("name_key"), resolve.variant_dimension(part_index(spark, sf))))
+    return rounded(best_matches(keyed.select("name_key"), resolve.variant_dimension(part_index(spark, sf)), scorer="edit"))
+
+
+@register("resolve_fuzzy_weighted")
+def resolve_fuzzy_weighted(spark, sf):
+    """The same names by the weighted ratio; a test compares it with brute force."""
+    variants = resolve.variant_dimension(part_index(spark, sf))
+    keyed = resolve.resolve_exact(
+        spelled_parts(spark, sf).select("name").filter("name is not null").distinct(), variants
+    )
+    return rounded(best_matches(keyed.select("name_key"), variants))
 
 
 def _cascade(spark, sf):
     return resolve.resolve_cascade(
-        spelled_parts(spark, sf), part_index(spark, sf), part_overrides(spark, sf)
+        spelled_parts(spark, sf), part_index(spark, sf), part_overrides(spark, sf), scorer="edit"
     )
 
 
@@ -253,7 +263,7 @@ _CANON_CHOICES = "(SELECT lower(canonical_name) AS choice_key, entity_id FROM ca
 )
 def build_index(spark, sf):
     built = resolve.build_index(
-        canonical_parts(spark, sf), part_overrides(spark, sf), spelled_parts(spark, sf)
+        canonical_parts(spark, sf), part_overrides(spark, sf), spelled_parts(spark, sf), scorer="edit"
     )
     return built.withColumn("alt_names", encode_variants(F.col("alt_names")))
 

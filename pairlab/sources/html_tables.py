@@ -126,8 +126,6 @@ class _TableReader(HTMLParser):
             self.open[-1]["rows"].append((self.open[-1]["bodies"], []))
         elif tag == "td" and self.open[-1]["rows"]:
             self.open[-1]["rows"][-1][1].append([attributes.get("data-sort") or "", ""])
-        elif tag == "th":
-            self.open[-1]["header"] = True
 
     def handle_endtag(self, tag):
         if tag == "table" and self.open:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairlab.functions import similarity
 from pairlab.operators import (
     assemble,
     conformal,
@@ -231,8 +232,10 @@ def test_cascade(spark):
     got = {r["name"]: (r["entity_id"], r["method"]) for r in resolve.resolve_cascade(df, index, overrides).collect()}
     assert got == {
         "NC State": (2, "override"), "Nowhere": (None, "unresolved"), " st  LOUIS. ": (3, "exact"), "SHARED": (4, "exact"),
-        "North Carolna": (1, "fuzzy"), "State Carolina North": (2, "fuzzy"), "qqqq": (None, "unresolved"), " ": (None, "blank"),
+        "North Carolna": (1, "fuzzy"), "State Carolina North": (1, "fuzzy"), "qqqq": (None, "unresolved"), " ": (None, "blank"),
     }
+    edit = resolve.resolve_cascade(df, index, overrides, scorer="edit").collect()
+    assert {r["name"]: r["entity_id"] for r in edit} == {**{n: i for n, (i, _) in got.items()}, "State Carolina North": 2}
     canonicals = df.sparkSession.createDataFrame([(n,) for _, n, _ in INDEX], "name string")
     again = {r["entity_id"] for r in resolve.resolve_cascade(canonicals, index, overrides).collect()}
     assert again == {1, 2, 3, 4}
@@ -265,12 +268,48 @@ def test_fuzzy_join_finds_every_pair(spark, cutoff):
     got = {(r[0], r[1]) for r in fuzzy.edit_candidates(left, right.select("choice_key"), cutoff).collect()}
     want = {(n, c) for n in names for c in choices if score(n, c) >= cutoff}
     assert want <= got
-    best = {r["name_key"]: (r["score"], r["entity_id"]) for r in fuzzy.best_matches(left, right, cutoff).collect()}
+    best = {r["name_key"]: (r["score"], r["entity_id"]) for r in fuzzy.best_matches(left, right, cutoff, "edit").collect()}
     for n in names:
         ranked = sorted((-score(n, c), i) for i, c in enumerate(choices) if score(n, c) >= cutoff)
         assert best.get(n) == ((-ranked[0][0], ranked[0][1]) if ranked else None)
 
 
+@pytest.mark.parametrize("cutoff,seed", [(80, 1), (80, 2), (85, 3), (90, 4)])
+def test_weighted_join_equals_comparing_all(spark, cutoff, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(30)] + ["st"] * 20
+
+    def phrase():
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))
+        if rng.random() < 0.4:
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice("abcd ") + text[at + rng.randint(0, 1):]
+        return " ".join(text.split())
+
+    choices = sorted({phrase() for _ in range(90)} - {""})
+    names = sorted({phrase() for _ in range(120)} - {""})
+    left = spark.createDataFrame([(n,) for n in names], "name_key string")
+    right = spark.createDataFrame([(c, i) for i, c in enumerate(choices)], "choice_key string, entity_id int")
+    pairs = {tuple(r) for r in fuzzy.weighted_candidates(left, right.select("choice_key"), cutoff).collect()}
+    for n, c in itertools.product(names, choices):
+        score = similarity.weighted_ratio(n, c)
+        if score >= cutoff and (n, c) not in pairs:
+            assert score == similarity.SHARED_WORD_SCORE and set(n.split()) & set(c.split()), (n, c, score)
+    got = {r["name_key"]: (r["score"], r["entity_id"]) for r in fuzzy.best_matches(left, right, cutoff).collect()}
+    for n in names:
+        ranked = sorted((-similarity.weighted_ratio(n, c), i) for i, c in enumerate(choices))
+        assert got.get(n) == ((-ranked[0][0], ranked[0][1]) if -ranked[0][0] >= cutoff else None), n
+
+
+def test_weighted_ratio_known_values():
+    assert similarity.ratio("this is a test", "this is a test!") == pytest.approx(96.55172, abs=1e-4)
+    assert similarity.partial_ratio("this is a test", "this is a test!") == 100.0
+    assert similarity.weighted_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == pytest.approx(95.0)
+    assert similarity.weighted_ratio("north carolina", "university of north carolina") == pytest.approx(90.0)
+    assert similarity.weighted_ratio("ohio", "ohio valley") == pytest.approx(90.0)
+    assert similarity.weighted_ratio("", "a") == 0.0
+
+
 def test_index_building(spark, rows):
     canon = spark.createDataFrame([(1, "Alpha College"), (2, "Beta")], "entity_id long, canonical_name string")
     overrides = spark.createDataFrame([("AC", "Alpha College"), ("Gone", "Missing")], "variant string, canonical string")
