@@ -23,6 +23,7 @@ from pairlab.functions.similarity import (
     weighted_similarity,
 )
 from pairlab.operators.ranking import first_per_key
+from pairlab.session import cut_lineage
 
 _SLACK = 1e-9
 
@@ -68,6 +69,11 @@ def _grams(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _counts(grams: DataFrame, *keys: str) -> DataFrame:
+    """How common each item is, stored: a small table is then broadcast to the items."""
+    return cut_lineage(grams.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "counts")
+
+
 def _prefixes(grams: DataFrame, frequency: DataFrame, key: str, cutoff: float) -> DataFrame:
     """The rarest bigrams of each string, as many as the cut-off calls for."""
     keep = F.col("len") + 1 - F.ceil(F.lit((2 * cutoff - 100) / 100) * F.col("len") - F.lit(_SLACK))
@@ -88,7 +94,7 @@ def edit_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> Data
     if cutoff <= 50:
         raise ValueError("the prefix bound needs a cut-off above 50")
     left, right = _grams(names, "name_key"), _grams(choices, "choice_key")
-    frequency = right.groupBy("channel", "gram").agg(F.count(F.lit(1)).alias("n"))
+    frequency = _counts(right, "channel", "gram")
     a = _prefixes(left, frequency, "name_key", cutoff)
     b = _prefixes(right, frequency, "choice_key", cutoff).withColumnRenamed("len", "len_b")
     longest = F.greatest("len", "len_b")
@@ -144,7 +150,7 @@ def _alike_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame:
         )
 
     a, b = explode(left, "name_key"), explode(right, "choice_key")
-    frequency = b.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    frequency = _counts(b, "gram")
     share = F.lit((1.5 * c - 1) * 2 / (2 - c))
     keep = F.col("_len") + 1 - F.ceil(share * F.col("_len") - F.lit(_SLACK))
     one = _rarest(a, frequency, ["name_key", "_text"], keep).select("name_key", "gram").distinct()
@@ -194,7 +200,7 @@ def _window_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame
         (right, left, "choice_key", "name_key"),
     ):
         index = everything(long, long_key).withColumnRenamed("_full", "_full_long")
-        frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        frequency = _counts(index, "gram")
         # Either side: dropping repeated words can make the longer name's text the shorter.
         apart = F.greatest("_full_long", "_full") / F.least("_full_long", "_full")
         pairs = (
@@ -229,7 +235,7 @@ def _subset_candidates(left: DataFrame, right: DataFrame, c: float) -> DataFrame
         index = _words(other, other_key).select(
             other_key, F.col("_full").alias("_other"), F.explode("_words").alias("word")
         )
-        frequency = index.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        frequency = _counts(index, "word")
         words = _words(one, one_key)
         total = F.aggregate("_words", F.lit(0), lambda acc, w: acc + F.length(w) + 1)
         weighed = words.select(one_key, "_full", total.alias("_total"), F.explode("_words").alias("word"))

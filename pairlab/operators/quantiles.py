@@ -5,6 +5,9 @@ buffer. Here a group's values are only counted into bins: the bin that holds the
 wanted rank is split into bins again, and the few values left are ranked. Each
 pass is an aggregation with map-side combine whose result has at most ``bins``
 rows per group and wanted rank, so a group with most of the rows does no harm.
+
+The ranges that a pass narrows are stored. The next pass then joins a table of
+known size: a small one is broadcast and the values are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.session import cut_lineage
+
 
 def _keys(group: Sequence[str]) -> list[str]:
     return [*group, "_rank"]
@@ -53,9 +58,9 @@ def order_statistics(
     the last pass small when a few outliers stretch the range; the result is the
     same.
     """
-    ranges = wanted.distinct().withColumn("_below", F.lit(0).cast("bigint"))
+    ranges = cut_lineage(wanted.distinct().withColumn("_below", F.lit(0).cast("bigint")), "ranges")
     for _ in range(levels):
-        ranges = _narrow(df, ranges, group, value, bins)
+        ranges = cut_lineage(_narrow(df, ranges, group, value, bins), "ranges")
     # What is left of each range is counted by value, so ties are one row.
     left = (
         df.join(ranges, list(group))
@@ -90,7 +95,7 @@ def exact_quantiles(
     data = df.select(*group, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     if not group:
         group, data = ["_all"], data.withColumn("_all", F.lit(0))
-    wanted = group_ranges(data, group, "_x").select(
+    wanted = cut_lineage(group_ranges(data, group, "_x"), "totals").select(
         *group, "n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")
     )
     at = (F.col("n") - 1) * F.col("prob")

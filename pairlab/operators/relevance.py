@@ -28,6 +28,14 @@ def feature_quantiles(long: DataFrame, probs: Sequence[float] = QUARTILES, by: S
     return exact_quantiles(long, [*by, "feature"], "x", probs)
 
 
+def _stored_cuts(long: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """One array of thresholds per feature, stored so that joins know its size."""
+    cuts = feature_quantiles(long, probs, by).groupBy(*by, "feature").agg(
+        F.array_sort(F.collect_list("threshold")).alias("_cuts")
+    )
+    return cut_lineage(cuts, "cuts")
+
+
 def mcc_scores(
     long: DataFrame, label: str = "y", probs: Sequence[float] = QUARTILES, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -37,9 +45,7 @@ def mcc_scores(
     per threshold, and the counts of all of them are one aggregation.
     """
     keys = [*by, "feature"]
-    cuts = feature_quantiles(long, probs, by).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("threshold")).alias("_cuts")
-    )
+    cuts = _stored_cuts(long, probs, by)
     n_cuts = len(probs)
     hit = [F.col("x") > F.get("_cuts", F.lit(i)) for i in range(n_cuts)]
     positive = F.col(label) == 1
@@ -67,9 +73,7 @@ def mi_binned(
     """Mutual information of the quantile bin and the label, in nats."""
     keys = [*by, "feature"]
     probs = [i / n_bins for i in range(1, n_bins)]
-    cuts = feature_quantiles(long, probs, by).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("threshold")).alias("_cuts")
-    )
+    cuts = _stored_cuts(long, probs, by)
     x = F.col("x")
     binned = long.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: x > c)))
     cells = binned.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).cast("double").alias("_c"))
@@ -119,7 +123,7 @@ def mi_knn(
     a whole feature. Equal values are one row with a weight throughout.
     """
     data = long.select("feature", "x", F.col(label).alias("_y"))
-    members = data.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_members"))
+    members = cut_lineage(data.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_members")), "members")
     data = data.join(members.filter(F.col("_members") > 1), ["feature", "_y"])
     # Read six times below, so it is stored: one shuffle instead of six.
     weighted = cut_lineage(

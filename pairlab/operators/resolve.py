@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairlab.functions.text import normalize_key, slugify, strip_space
 from pairlab.operators.fuzzy import best_matches
 from pairlab.operators.ranking import assign_ids
+from pairlab.session import cut_lineage
 
 
 def variant_dimension(index: DataFrame) -> DataFrame:
@@ -110,11 +111,16 @@ def resolve_pairs(
     cutoff: float | None = 80.0,
     scorer: str = "weighted",
 ) -> DataFrame:
-    """Resolve the distinct names of all sides once, then attach the ids."""
+    """Resolve the distinct names of all sides once, store the mapping, attach the ids.
+
+    A small mapping is broadcast; a large one is joined by name, and adaptive
+    execution splits a name that is in very many pairs.
+    """
     first, *rest = [df.select(F.col(n).alias("name")).distinct() for n in sides]
     for part in rest:
         first = first.union(part)
-    return attach_ids(df, resolve_cascade(first, index, overrides, cutoff=cutoff, scorer=scorer), sides)
+    mapping = resolve_cascade(first, index, overrides, cutoff=cutoff, scorer=scorer)
+    return attach_ids(df, cut_lineage(mapping, "mapping"), sides)
 
 
 def id_to_name(ids: DataFrame, index: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pairlab.operators import conformal, evaluation
 from pairlab.plans import views
 from pairlab.plans.oracle_views import WITH_SCORED, r
 from pairlab.plans.registry import register, rounded
+from pairlab.session import cut_lineage
 
 _MEAN = "((p0 + p1 + p2 + p3) / 4.0::DOUBLE)"
 _STD = f"sqrt((pow(p0 - {_MEAN}, 2) + pow(p1 - {_MEAN}, 2) + pow(p2 - {_MEAN}, 2) + pow(p3 - {_MEAN}, 2)) / 4.0::DOUBLE)"
@@ -99,8 +100,9 @@ def _rates(spark, sf):
 def blended(spark, sf):
     """Ensemble probability pulled to the base rate; every fourth difference has none."""
     df = views.with_ensemble(views.scored(spark, sf))
-    rates = _rates(spark, sf).filter(F.col("seed_diff") % 4 != 0).select("seed_diff", "rate")
+    rates = cut_lineage(_rates(spark, sf), "rates").filter(F.col("seed_diff") % 4 != 0).select("seed_diff", "rate")
     final = pr.prior_blend(F.col("prob"), F.col("rate"), F.col("preds"))
+    # Stored, the few rates are seen to be few and are broadcast: the pairs stay put.
     return df.join(rates, "seed_diff", "left").withColumn("final_p", F.round(final, 9)).drop("rate")
 
 
