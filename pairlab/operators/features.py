@@ -87,9 +87,15 @@ def composites(df: DataFrame, specs: Sequence[Composite]) -> list[Column]:
     return out
 
 
-def round_columns(c: Column) -> list[Column]:
-    number = normalize_category(c)
-    return [number.alias("round_number"), ordinal_group(number).alias("round_group")]
+def with_rounds(df: DataFrame, text: str = "bracket_round") -> DataFrame:
+    """Adds ``round_number`` and ``round_group``.
+
+    The number is a projection of its own: used five times by the group, its
+    text rules would otherwise be spelled out, and run, five times.
+    """
+    return df.withColumn("round_number", normalize_category(F.col(text))).withColumn(
+        "round_group", ordinal_group(F.col("round_number"))
+    )
 
 
 def seed_columns(a: Column, b: Column) -> list[Column]:
@@ -104,10 +110,9 @@ def build_pair_features(
     seeds: tuple[str, str] = ("a_seed", "b_seed"),
     denominator: str = "clip",
 ) -> DataFrame:
-    """All generated columns in one projection over the joined pairs."""
-    return df.select(
+    """All generated columns of the joined pairs; no shuffle."""
+    return with_rounds(df, round_col).select(
         "*",
-        *round_columns(F.col(round_col)),
         *seed_columns(F.col(seeds[0]), F.col(seeds[1])),
         *stat_diffs(df, stats),
         *stat_pctdiffs(df, stats, denominator),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.functions.pairmath import diff_bucket, ordinal_group, pair_arith, safe_diff, safe_pct_diff
-from pairlab.operators import assemble, features
+from pairlab.functions.pairmath import diff_bucket, pair_arith, safe_diff, safe_pct_diff
+from pairlab.functions.text import normalize_category
+from pairlab.operators import assemble, features, resolve
 from pairlab.operators.pairs import period_counts, unresolved
 from pairlab.operators.ranking import first_per_key
 from pairlab.plans import views
@@ -165,10 +166,9 @@ def bucket(spark, sf):
     "normalize_category",
     f"{WITH_GAMES} SELECT game_id, bracket_round, {ROUND_NUMBER} AS round_number FROM games",
 )
-def normalize_category(spark, sf):
-    df = views.games(spark, sf)
-    number, _ = features.round_columns(F.col("bracket_round"))
-    return df.select("game_id", "bracket_round", number)
+def round_numbers(spark, sf):
+    number = normalize_category(F.col("bracket_round")).alias("round_number")
+    return views.games(spark, sf).select("game_id", "bracket_round", number)
 
 
 @register(
@@ -177,10 +177,7 @@ def normalize_category(spark, sf):
     f"FROM (SELECT *, {ROUND_NUMBER} AS round_number FROM games)",
 )
 def group(spark, sf):
-    number, _ = features.round_columns(F.col("bracket_round"))
-    return views.games(spark, sf).select("game_id", number).select(
-        "game_id", ordinal_group(F.col("round_number")).alias("round_group")
-    )
+    return features.with_rounds(views.games(spark, sf)).select("game_id", "round_group")
 
 
 @register(
@@ -411,3 +408,44 @@ def diagonal(spark, sf):
         F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("owner")
     )
     return union_diagonal([orders, customers, suppliers])
+
+
+_SPELLINGS_SQL = f"""{WITH_STATS}, twice AS (SELECT entity_id, period, entity_name AS name, 0 AS sp, qty_season, price_season FROM entity_stats
+    UNION ALL SELECT entity_id, period, upper(entity_name) || '.', 1, qty_season + 1, price_season FROM entity_stats WHERE entity_id % 2 = 0
+    UNION ALL SELECT entity_id, period, 'lost ' || entity_id, 2, qty_season, price_season FROM entity_stats WHERE entity_id % 5 = 0)"""
+
+
+@register(
+    "entity_period_table",
+    f"""{_SPELLINGS_SQL} SELECT entity_id, period, name, {r('qty_season')} AS qty_season, {r('price_season')} AS price_season FROM twice
+    WHERE sp < 2 QUALIFY row_number() OVER (PARTITION BY entity_id, period ORDER BY name) = 1""",
+)
+def entity_period_table(spark, sf):
+    """Statistics under source names → one row per resolved entity and period.
+
+    Names are resolved once each, rows without an entity are dropped, and of two
+    spellings of an entity the first is kept.
+    """
+    stats = views.entity_stats(spark, sf).select("entity_id", "period", "entity_name", "qty_season", "price_season")
+    even, fifth = F.col("entity_id") % 2 == 0, F.col("entity_id") % 5 == 0
+    spelled = stats.select(
+        "period",
+        "price_season",
+        F.explode(
+            F.filter(
+                F.array(
+                    F.struct(F.col("entity_name").alias("name"), F.col("qty_season").alias("qty_season")),
+                    F.when(even, F.struct(F.concat(F.upper("entity_name"), F.lit(".")).alias("name"), (F.col("qty_season") + 1).alias("qty_season"))),
+                    F.when(fifth, F.struct(F.concat(F.lit("lost "), F.col("entity_id").cast("string")).alias("name"), F.col("qty_season").alias("qty_season"))),
+                ),
+                lambda s: s.isNotNull(),
+            )
+        ).alias("s"),
+    ).select("period", "s.name", "s.qty_season", "price_season")
+    index = views.supplier_names(spark, sf).select(
+        "entity_id", F.col("entity_name").alias("canonical_name"), F.array().cast("array<string>").alias("alt_names")
+    )
+    nothing = spark.createDataFrame([], "variant string, canonical string")
+    resolved = resolve.resolve_pairs(spelled, index, nothing, {"name": "entity_id"}, cutoff=None)
+    kept = first_per_key(assemble.drop_unresolved(resolved, "entity_id"), ["entity_id", "period"], [F.col("name")])
+    return rounded(kept.select("entity_id", "period", "name", "qty_season", "price_season"))

@@ -229,3 +229,28 @@ def confidence_tier(spark, sf):
 )
 def tier_distribution(spark, sf):
     return _tiers(spark, sf).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "prediction_table",
+    f"""{_CONFORMAL_SQL} SELECT game_id, round_number, bracket_region AS region, a_name, a_seed, b_name, b_seed, {r('prob', 9)} AS prob_a,
+      CASE WHEN prob > 0.5 THEN a_name ELSE b_name END AS predicted_winner, CASE WHEN prob > 0.5 THEN a_seed ELSE b_seed END AS predicted_seed,
+      {r('greatest(prob, 1 - prob)', 9)} AS confidence, cast(set_size AS INTEGER) AS set_size_90,
+      CASE WHEN winner = 1 THEN a_name ELSE b_name END AS actual_winner FROM counted WHERE level = 0.9 AND period = 2000""",
+)
+def prediction_table(spark, sf):
+    """The predictions of one year as they are handed on: pick, confidence, set size, outcome."""
+    df = views.with_ensemble(views.scored(spark, sf)).filter(F.col("period") == 2000)
+    sets = conformal.predict_sets(df, _seen(spark, sf), "prob", 0.90)
+    winner, seed, _, confidence, _ = pr.decision_columns(
+        *[F.col(c) for c in ("prob", "a_name", "b_name", "a_seed", "b_seed")]
+    )
+    actual = F.when(F.col("winner") == 1, F.col("a_name")).otherwise(F.col("b_name"))
+    return rounded(
+        sets.select(
+            "game_id", "round_number", F.col("bracket_region").alias("region"), "a_name", "a_seed", "b_name", "b_seed",
+            F.col("prob").alias("prob_a"), winner, seed, confidence, F.col("set_size").alias("set_size_90"),
+            actual.alias("actual_winner"),
+        ),
+        9,
+    )

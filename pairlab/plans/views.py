@@ -15,10 +15,10 @@ from pairlab.operators.assemble import pair_dim_join, stat_variants
 from pairlab.operators.features import (
     Composite,
     build_pair_features,
-    round_columns,
     seed_columns,
     stat_columns,
     vector_to_long,
+    with_rounds,
 )
 from pairlab.operators.pairs import orient_pairs
 from pairlab.session import read_table
@@ -204,9 +204,9 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         F.round(logistic(F.lit(w[0]) * gap + F.lit(w[1]) * price + F.lit(w[2]) * qty), 6)
         for w in BASE_WEIGHTS
     ]
-    return oriented.select(
+    return with_rounds(oriented).select(
         "game_id", "period", "bracket_region", "a_name", "b_name", "a_seed", "b_seed", "winner",
-        *round_columns(F.col("bracket_round")),
+        "round_number", "round_group",
         *seed_columns(F.col("a_seed"), F.col("b_seed")),
         *[p.alias(f"p{i}") for i, p in enumerate(preds)],
     )
