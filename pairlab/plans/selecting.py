@@ -169,12 +169,12 @@ def _relevance(spark, sf, mi="binned"):
 
 @register(
     "rank_scores",
-    f"{_LONG_SQL}, {_MCC_SQL} SELECT feature, {r('mcc')} AS mcc, "
+    f"{_LONG_SQL}, {_MCC_SQL} SELECT feature, {r('mcc', 9)} AS mcc, "
     "cast(row_number() OVER (ORDER BY round(mcc, 9) DESC, feature) - 1 AS INTEGER) AS mcc_rank FROM mcc",
 )
 def rank_scores(spark, sf):
     scores = relevance.mcc_scores(views.embedding_features(spark, sf)).withColumn("mcc", F.round("mcc", 9))
-    return rounded(ranking.rank_scores(scores, "mcc", "feature", "mcc_rank"))
+    return rounded(ranking.rank_scores(scores, "mcc", "feature", "mcc_rank"), 9)
 
 
 @register(
