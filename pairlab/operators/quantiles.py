@@ -20,60 +20,76 @@ from pyspark.sql import functions as F
 from pairlab.session import cut_lineage
 
 
-def _keys(group: Sequence[str]) -> list[str]:
-    return [*group, "_rank"]
-
-
-def _narrow(df: DataFrame, ranges: DataFrame, group: Sequence[str], value: str, bins: int) -> DataFrame:
-    """Replace each range by its bin that holds the wanted rank."""
-    inside = df.join(ranges, list(group)).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), width), F.lit(0.0))
-    counted = (
-        inside.withColumn("_bin", F.least(F.floor(place * bins), F.lit(bins - 1)).cast("int"))
-        .groupBy(*_keys(group), "_bin")
-        .agg(
-            F.first("_below").alias("_below"),
-            F.count(F.lit(1)).alias("_n"),
-            F.min(value).alias("_lo"),
-            F.max(value).alias("_hi"),
-        )
+_RANGE = ["_lo", "_hi"]
+
+
+def _counted(df: DataFrame, wanted: DataFrame, group: list[str], value: str, bins: int | None) -> DataFrame:
+    """Counts per bin (or per value) of every distinct range, with the rows below each.
+
+    A range that several ranks share is counted once.
+    """
+    ranges = wanted.select(*group, *_RANGE, "_below").distinct()
+    inside = df.join(ranges, group).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    if bins is None:
+        part = F.col(value)
+    else:
+        share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    counts = inside.groupBy(*group, *_RANGE, "_below", part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_from"), F.max(value).alias("_to")
     )
-    upto = Window.partitionBy(*_keys(group)).orderBy("_bin")
+    upto = F.sum("_n").over(Window.partitionBy(*group, *_RANGE).orderBy("_part"))
     return (
-        counted.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
+        counts.withColumn("_upto", F.col("_below") + upto)
         .withColumn("_before", F.col("_upto") - F.col("_n"))
-        .filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-        .select(*_keys(group), "_lo", "_hi", F.col("_before").alias("_below"))
+        .drop("_below", "_part")
     )
 
 
+def _locate(wanted: DataFrame, counted: DataFrame, group: list[str]) -> DataFrame:
+    """Each wanted rank with the bin that holds it."""
+    hit = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
+    return wanted.drop("_below").join(counted, [*group, *_RANGE]).filter(hit)
+
+
 def order_statistics(
-    df: DataFrame, group: Sequence[str], value: str, wanted: DataFrame, bins: int = 4096, levels: int = 1
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    wanted: DataFrame,
+    bins: int = 4096,
+    max_left: int = 1_000_000,
+    max_levels: int = 8,
 ) -> DataFrame:
     """(group…, _rank, _v): the value of 0-based ``_rank`` in ascending order per group.
 
     ``wanted`` holds (group…, _rank, _lo, _hi) with the group's smallest and
-    largest value. NULL values must be filtered out before. More ``levels`` keep
-    the last pass small when a few outliers stretch the range; the result is the
-    same.
+    largest value. NULL values must be filtered out before. Bins are narrowed
+    once, and again while one with different values holds more than ``max_left``
+    of them, as happens when outliers stretch the range; the result is the same.
     """
-    ranges = cut_lineage(wanted.distinct().withColumn("_below", F.lit(0).cast("bigint")), "ranges")
-    for _ in range(levels):
-        ranges = cut_lineage(_narrow(df, ranges, group, value, bins), "ranges")
+    group = list(group)
+    ranks = cut_lineage(wanted.distinct().withColumn("_below", F.lit(0).cast("bigint")), "ranges")
+    for _ in range(max_levels):
+        found = _locate(ranks, _counted(df, ranks, group, value, bins), group)
+        ranks = cut_lineage(
+            found.select(
+                *group,
+                "_rank",
+                F.col("_from").alias("_lo"),
+                F.col("_to").alias("_hi"),
+                F.col("_before").alias("_below"),
+                "_n",
+            ),
+            "ranges",
+        )
+        widest = ranks.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0
+        ranks = ranks.drop("_n")
+        if widest <= max_left:
+            break
     # What is left of each range is counted by value, so ties are one row.
-    left = (
-        df.join(ranges, list(group))
-        .filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*_keys(group), F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.first("_below").alias("_below"))
-    )
-    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*_keys(group)).orderBy("_v"))
-    return (
-        left.withColumn("_upto", upto)
-        .filter((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-        .select(*_keys(group), "_v")
-    )
+    last = _locate(ranks, _counted(df, ranks, group, value, None), group)
+    return last.select(*group, "_rank", F.col("_from").alias("_v"))
 
 
 def group_ranges(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -88,7 +104,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     bins: int = 4096,
-    levels: int = 1,
+    max_left: int = 1_000_000,
 ) -> DataFrame:
     """(group…, prob, threshold, n): linearly interpolated quantiles, NULLs skipped."""
     group = list(group)
@@ -102,13 +118,13 @@ def exact_quantiles(
     low = F.floor(at)
     high = F.least(low + 1, F.col("n") - 1)
     both = wanted.select(*group, "_lo", "_hi", F.explode(F.array(low, high)).alias("_rank"))
-    found = order_statistics(data, group, "_x", both, bins, levels)
+    found = order_statistics(data, group, "_x", both, bins, max_left)
     # One row per group and probability, with the one or two ranks around it.
     sides = wanted.select(*group, "prob", "n", F.explode(F.array_distinct(F.array(low, high))).alias("_rank"))
     part = F.max(at - low)
     bottom, top = F.min("_v"), F.max("_v")
     return (
-        sides.join(found, _keys(group))
+        sides.join(found, [*group, "_rank"])
         .groupBy(*group, "prob", "n")
         .agg((bottom + (top - bottom) * part).alias("threshold"))
         .select(*[g for g in group if g != "_all"], "prob", "threshold", "n")

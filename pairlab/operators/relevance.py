@@ -5,6 +5,7 @@ Input is long: one row per observation and feature (``feature``, ``x``, ``y``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,20 @@ def mi_binned(
     return parts.groupBy(*keys).agg(F.greatest(F.sum("_term"), F.lit(0.0)).alias("mi"))
 
 
+def _jitter(long: DataFrame, key: str) -> DataFrame:
+    """x plus normal noise that depends on the row's key and the feature only."""
+    scale = cut_lineage(
+        long.groupBy("feature").agg(F.greatest(F.stddev_pop("x"), F.avg(F.abs("x"))).alias("_scale")), "scale"
+    )
+
+    def uniform(seed: int) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(F.col(key), "feature", F.lit(seed)), 11)
+        return (bits.cast("double") + 0.5) / F.lit(2.0**53)
+
+    normal = F.sqrt(F.lit(-2.0) * F.ln(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(2))
+    return long.join(scale, "feature").withColumn("x", F.col("x") + F.lit(1e-10) * F.col("_scale") * normal)
+
+
 def _bucket(x: Column, cuts: Column) -> Column:
     """How many cuts lie below x: first over blocks of cuts, then inside one block.
 
@@ -109,6 +124,7 @@ def mi_knn(
     k: int = 5,
     rows_per_bucket: int = 250_000,
     buckets: int | None = None,
+    jitter_by: str | None = None,
 ) -> DataFrame:
     """(feature, mi): nearest-neighbour mutual information of a number and a class.
 
@@ -117,12 +133,17 @@ def mi_knn(
     near); the estimate is ψ(N) + ⟨ψ(k)⟩ − ⟨ψ(n_class)⟩ − ⟨ψ(m)⟩, at least 0.
     Classes with one member are left out.
 
+    Where many values are equal the estimate is low, as m counts all of them.
+    ``jitter_by`` names a row key: a repeatable noise of a ten-billionth of the
+    values' scale, drawn from its hash, then breaks the ties.
+
     A feature's values are cut into range buckets; a bucket takes the last and
     the next k values of its class from its neighbours, and counts below a bound
     are the total of the lower buckets plus a place in its own. So no task sees
     a whole feature. Equal values are one row with a weight throughout.
     """
-    data = long.select("feature", "x", F.col(label).alias("_y"))
+    data = long if jitter_by is None else _jitter(long, jitter_by)
+    data = data.select("feature", "x", F.col(label).alias("_y"))
     members = cut_lineage(data.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_members")), "members")
     data = data.join(members.filter(F.col("_members") > 1), ["feature", "_y"])
     # Read six times below, so it is stored: one shuffle instead of six.

@@ -7,6 +7,8 @@ retried task cannot change a result.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,25 @@ BASE_WEIGHTS = ((-0.08, 0.00002, 0.01), (-0.03, 0.00005, 0.02), (-0.12, 0.0, 0.0
 SUPPLIER_SEEDS = 16
 
 
+def view(build):
+    """Define a view once per session: its plan is kept, never its rows."""
+
+    @wraps(build)
+    def lookup(spark: SparkSession, sf: str, *args):
+        plans = spark.__dict__.setdefault("_pairlab_views", {})
+        key = (build.__name__, sf, args)
+        if key not in plans:
+            plans[key] = build(spark, sf, *args)
+        return plans[key]
+
+    return lookup
+
+
 def _money(c: str) -> Column:
     return F.col(c).cast("decimal(18,2)")
 
 
+@view
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     line = read_table(spark, sf, "lineitem")
     return line.select(
@@ -63,12 +80,14 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@view
 def supplier_names(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("entity_id"), F.col("s_name").alias("entity_name")
     )
 
 
+@view
 def entity_stats(spark: SparkSession, sf: str) -> DataFrame:
     recency = [
         F.desc(c)
@@ -86,6 +105,7 @@ def entity_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats.join(supplier_names(spark, sf), "entity_id", "left")
 
 
+@view
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Name, seed and season means per (entity, period).
 
@@ -109,6 +129,7 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     ).join(supplier_names(spark, sf).withColumnRenamed("entity_name", "name"), "entity_id", "left")
 
 
+@view
 def games(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Away and home side of every order with at least two suppliers.
 
@@ -168,10 +189,12 @@ def games(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFram
 PAIR_KEEP = ("game_id", "period", "game_date", "bracket_round", "bracket_region")
 
 
+@view
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return orient_pairs(games(spark, sf), keep=PAIR_KEEP)
 
 
+@view
 def joined_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pair_dim_join(
         pairs(spark, sf),
@@ -187,12 +210,14 @@ def stat_names(spark: SparkSession, sf: str) -> list[str]:
     return stat_columns(entity_stats(spark, sf), META)
 
 
+@view
 def pair_features(spark: SparkSession, sf: str, denominator: str = "clip") -> DataFrame:
     return build_pair_features(
         joined_pairs(spark, sf), stat_names(spark, sf), COMPOSITES, denominator=denominator
     )
 
 
+@view
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs with four deterministic base predictions."""
     attributes = ("id", "name", "seed", "score", "price", "qty")
@@ -225,12 +250,14 @@ def tolerant_preds(df: DataFrame) -> DataFrame:
     return df.withColumn("p2", F.when(F.col("round_number") >= 3, F.col("p2")))
 
 
+@view
 def embedding_features(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, y, feature, pos, x) of the embeddings; the label is whether it is below 5."""
     df = read_table(spark, sf, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
     return vector_to_long(df, "embedding", ["vec_id", "y"])
 
 
+@view
 def document_features(spark: SparkSession, sf: str) -> DataFrame:
     """Shape features of the labelled documents, read from the whole text."""
     docs = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id")

@@ -78,8 +78,8 @@ def test_ids_are_consecutive_over_partitions(spark, rows):
     assert [(n, i) for n, i in got] == [(n, i + 1) for i, n in enumerate(sorted(names))]
 
 
-@pytest.mark.parametrize("levels", [1, 2])
-def test_exact_quantiles_match_numpy(spark, levels):
+@pytest.mark.parametrize("max_left", [1_000_000, 20])
+def test_exact_quantiles_match_numpy(spark, max_left):
     rng = np.random.default_rng(3)
     groups = {
         "normal": rng.normal(size=501),
@@ -91,7 +91,7 @@ def test_exact_quantiles_match_numpy(spark, levels):
     data = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("one", None)]
     df = spark.createDataFrame(data, "g string, v double").repartition(3)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["g"], r["prob"]): r["threshold"] for r in quantiles.exact_quantiles(df, ["g"], "v", probs, 16, levels).collect()}
+    got = {(r["g"], r["prob"]): r["threshold"] for r in quantiles.exact_quantiles(df, ["g"], "v", probs, 16, max_left).collect()}
     for (g, p) in itertools.product(groups, probs):
         assert got[g, p] == pytest.approx(np.quantile(groups[g], p), rel=1e-12, abs=1e-12)
     assert len(got) == len(groups) * len(probs)
@@ -135,6 +135,18 @@ def test_knn_information_matches_brute_force(spark, buckets):
         assert got[name] == pytest.approx(brute_mi(values, y), abs=1e-9), name
 
 
+def test_jitter_breaks_ties_and_repeats(spark):
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, 400)
+    x = np.where(rng.random(400) < 0.5, 0.0, rng.normal(size=400) + 2 * y)
+    df = spark.createDataFrame([(i, "f", float(v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id int, feature string, x double, y int")
+    one, two = (relevance.mi_knn(df.repartition(n), jitter_by="id").first()["mi"] for n in (2, 5))
+    assert one == pytest.approx(two)
+    noisy = [brute_mi(x + 1e-10 * rng.normal(size=400), y) for _ in range(5)]
+    assert one == pytest.approx(np.mean(noisy), abs=0.05)
+    assert relevance.mi_knn(df).first()["mi"] < one
+
+
 def test_mcc_of_constant_and_binary_features(spark):
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 60)
