@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.bpe import bpe_decode, bpe_encode
 from pairlab.llm.common import read_table
+from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
+from pairlab.llm.simhash import simhash_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +48,13 @@ def op4_sharding(spark, sf_dir):
     placed = placed.withColumn("grown_shard", rendezvous(F.col("doc_id"), (1.0,) * (SHARDS + 1)))
     numbered = number_slots(placed, "doc_id", then=("size", "text_crc32"))
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_metric_join(spark, sf_dir):
+    return cosine_components(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
