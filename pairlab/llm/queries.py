@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.bpe import bpe_decode, bpe_encode
 from pairlab.llm.common import read_table
 from pairlab.llm.metric_join import cosine_components
+from pairlab.llm.packing import pack_documents
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
 from pairlab.llm.simhash import simhash_components
 
@@ -58,3 +59,8 @@ def op5_simhash(spark, sf_dir):
 @query
 def op3_metric_join(spark, sf_dir):
     return cosine_components(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+@query
+def op2_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end=1)
