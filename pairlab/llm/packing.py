@@ -295,6 +295,8 @@ def place_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = 4096) -
         .select(*pieces.columns, "__rank")
     )
 
+    names = pieces.columns
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("__rank").to_numpy()
@@ -302,8 +304,8 @@ def place_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = 4096) -
             nth = rank - span[:, 1]
             sequence = span[:, 4] + nth // span[:, 3]
             offset = span[:, 5] + nth % span[:, 3] * length
-            kept = [batch.column(c) for c in pieces.columns]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*pieces.columns, "sequence_id", "offset"])
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     fields = [*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     return ranked.mapInArrow(run, T.StructType(fields))
