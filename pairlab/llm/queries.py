@@ -12,6 +12,7 @@ from pairlab.llm.bpe import bpe_decode, bpe_encode
 from pairlab.llm.common import read_table
 from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.packing import pack_documents
+from pairlab.llm.quality_rules import apply_rules
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
 from pairlab.llm.simhash import simhash_components
 
@@ -64,3 +65,11 @@ def op3_metric_join(spark, sf_dir):
 @query
 def op2_packing(spark, sf_dir):
     return pack_documents(read_table(spark, sf_dir, "documents"), WORD_BPE, capacity=4096, end=1)
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    ruled = apply_rules(read_table(spark, sf_dir, "documents"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
