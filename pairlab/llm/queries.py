@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.bpe import bpe_decode, bpe_encode
 from pairlab.llm.common import read_table
+from pairlab.llm.langid import identify_languages
 from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.packing import pack_documents
 from pairlab.llm.quality_rules import apply_rules
@@ -73,3 +74,8 @@ def op6_quality_rules(spark, sf_dir):
     return ruled.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op10_langid(spark, sf_dir):
+    return identify_languages(read_table(spark, sf_dir, "documents"))
