@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.bpe import bpe_decode, bpe_encode
 from pairlab.llm.common import read_table
 from pairlab.llm.langid import identify_languages
+from pairlab.llm.lm import not_held_out, score_texts
 from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.packing import pack_documents
 from pairlab.llm.quality_rules import apply_rules
@@ -79,3 +80,8 @@ def op6_quality_rules(spark, sf_dir):
 @query
 def op10_langid(spark, sf_dir):
     return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_lm_scoring(spark, sf_dir):
+    return score_texts(read_table(spark, sf_dir, "documents"), not_held_out("doc_id"))
