@@ -39,7 +39,7 @@ def byte_letters() -> dict[str, int]:
 class BacktrackingBPE:
     """Encoder and decoder of one byte-level vocabulary file. Ids must follow the order of the merges."""
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 80_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters, vocab = byte_letters(), spec["model"]["vocab"]

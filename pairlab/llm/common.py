@@ -43,19 +43,22 @@ def rows_of(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.R
 
 
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew when it is full.
+    """A dict that computes what it lacks and holds at most twice ``limit`` values.
 
-    It bounds memory only: what it returns does not hang on what it holds.
+    When it is full, its values become the old ones, of which those asked for again
+    come back. It bounds memory only: what it returns does not hang on what it holds.
     """
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit = compute, limit
+        self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.old.pop(key, None)
+        value = self[key] = self.compute(key) if value is None else value
         return value
 
 
@@ -71,7 +74,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class WordHasher:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as 64-bit hashes (XXH64), A-Z lower-cased."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         self.memo = Memo(xxhash.xxh64_intdigest, limit)
 
     def __call__(self, text: bytes) -> np.ndarray:

@@ -32,8 +32,6 @@ from pairlab.llm.common import as_bytes, input_parts, rows_of, store
 
 #: The published splitting of the word vocabulary (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
-
-
 #: Characters whose class and composed form no Unicode version has changed (fixed value).
 USUAL = r"\t-\r\x20-\x7e\xa0-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0482\u048a-\u0527\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
 
@@ -47,51 +45,56 @@ class WordTokens:
     classes all Unicode versions agree on, go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 80_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import normalizers
 
-        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for each in (self.whole, self.words):
-            each.no_padding()
-            each.no_truncation()
+        self.path, self.memo = path, memo
+        self.words = self._library()
         self.words.normalizer = normalizers.Sequence([])
-        special = "|".join(regex.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
+        special = "|".join(regex.escape(t.content) for t in self.words.get_added_tokens_decoder().values())
         self.unusual = regex.compile(rf"[^{USUAL}]" + (f"|{special}" if special else ""))
         self.splitter = regex.compile(WORDS)
         self.units: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.memo = memo
+        self.old: dict[str, bytes] = {}
+
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_padding()
+        found.no_truncation()
+        return found
+
+    @functools.cached_property
+    def whole(self):
+        """The library's tokenizer for texts that go to it whole."""
+        return self._library()
 
     def _learn(self, units: set[str]) -> None:
-        """Bring units (runs without white space) into the memo; it starts anew when it is full."""
-        if len(self.units) + len(units) > self.memo:
-            self.units.clear()
-        if len(self.known) + 2 * len(units) > self.memo:
-            self.known.clear()
-        pieces = {unit: self.splitter.findall(unit) for unit in units}
-        new = list({word for words in pieces.values() for word in words}.difference(self.known))
-        for word, coded in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
+        """Bring units (runs without white space) into the memo."""
+        for unit in [u for u in units if u in self.old]:
+            self.units[unit] = self.old.pop(unit)
+        pieces = {unit: self.splitter.findall(unit) for unit in units.difference(self.units)}
+        new = list({word for words in pieces.values() for word in words})
+        coded = self.words.encode_batch_fast(new, add_special_tokens=False)
+        known = {word: np.array(x.ids, "<u4").tobytes() for word, x in zip(new, coded)}
         for unit, words in pieces.items():
-            self.units[unit] = b"".join([self.known[word] for word in words])
+            self.units[unit] = b"".join([known[word] for word in words])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
+        usual = [None if self.unusual.search(t) else t.replace("Σ", "σ").lower().split() for t in texts]
+        if len(self.units) >= self.memo:
+            self.old, self.units = self.units, {}
+        self._learn(set().union(*[u for u in usual if u]).difference(self.units))
         out = []
-        for text in texts:
-            if self.unusual.search(text):
+        for text, units in zip(texts, usual):
+            if units is None:
                 ids = self.whole.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, "<u4").tobytes())
-                continue
-            units = text.replace("Σ", "σ").lower().split()
-            new = set(units).difference(self.units)
-            if new:
-                before = len(self.units)
-                self._learn(new)
-                if len(self.units) < before + len(new):  # it started anew
-                    self._learn(set(units).difference(self.units))
-            out.append(b"".join(map(self.units.__getitem__, units)))
+            else:
+                out.append(b"".join(map(self.units.__getitem__, units)))
         return out
 
 
