@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm.bpe import bpe_decode, bpe_encode
-from pairlab.llm.common import read_table
+from pairlab.llm.common import read_table, store
+from pairlab.llm.importance import resample
 from pairlab.llm.langid import identify_languages
 from pairlab.llm.lm import not_held_out, score_texts
 from pairlab.llm.metric_join import cosine_components
@@ -17,6 +18,8 @@ from pairlab.llm.packing import pack_documents
 from pairlab.llm.quality_rules import apply_rules
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
 from pairlab.llm.simhash import simhash_components
+from pairlab.llm.token_rollup import TokenLedger, count_tokens, deletes, inserts, later_copies, revisions
+from pairlab.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +88,22 @@ def op10_langid(spark, sf_dir):
 @query
 def op7_lm_scoring(spark, sf_dir):
     return score_texts(read_table(spark, sf_dir, "documents"), not_held_out("doc_id"))
+
+
+@query
+def op8_importance(spark, sf_dir):
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_token_counts(spark, sf_dir):
+    """All documents go in, later copies of a text come out, and the counts of the rest are revised to hold the end id."""
+    counted = store(count_tokens(read_table(spark, sf_dir, "documents"), WORD_BPE, "word_bpe_49k"), "token-counts")
+    ledger = TokenLedger(spark, scratch_path(spark, "ledger"))
+    copies = store(later_copies(counted), "copies")
+    kept = counted.join(copies.select("doc_id"), "doc_id", "left_anti")
+    ledger.commit("insert", inserts(counted))
+    ledger.commit("copies", deletes(copies))
+    ledger.commit("end-id", revisions(kept.withColumn("revised", F.col("n_tokens") + 1), "n_tokens", "revised"))
+    ledger.commit("copies", deletes(copies))  # a batch that comes twice counts once
+    return ledger.totals(["insert", "copies", "end-id"])
