@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairlab.session import cut_lineage, read_table
 
-__all__ = ["Memo", "WordHasher", "as_bytes", "input_parts", "int_crc", "mix", "read_table", "rows_of", "store"]
+__all__ = ["Memo", "WordHasher", "as_bytes", "fresh", "input_parts", "int_crc", "mix", "read_table", "rows_of", "store"]
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -25,6 +25,14 @@ def as_bytes(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("binary"), F.lit(b""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def int_crc(value: Column) -> Column:
     """Unsigned CRC-32 of an integer written in decimal."""
     return F.crc32(value.cast("string").cast("binary"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import Memo, as_bytes, mix, rows_of, store
+from pairlab.llm.common import Memo, as_bytes, fresh, mix, rows_of, store
 
 #: Slots for words and word pairs, codes of shapes, and slots of all features.
 WORD_SLOTS, SHAPES = 1 << 12, 1 << 8
@@ -154,15 +154,21 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def _weighed(docs: DataFrame, model: ImportanceModel, key: str, text: str) -> DataFrame:
-    found = docs.withColumn("__log_weight", model.log_weights(text))
-    return found.withColumn("__gumbel", gumbel_key(F.col("__log_weight"), F.col(f"`{key}`")))
+def _weighed(docs: DataFrame, model: ImportanceModel, key: str, text: str, weight: str, gumbel: str) -> DataFrame:
+    found = docs.withColumn(weight, model.log_weights(text))
+    return found.withColumn(gumbel, gumbel_key(F.col(weight), F.col(f"`{key}`")))
+
+
+def _weights(docs: DataFrame, model: ImportanceModel, key: str, text: str) -> DataFrame:
+    """(key, log_weight, gumbel), stored."""
+    slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return store(_weighed(slim, model, "key", "text", "log_weight", "gumbel").drop("text"), "weights")
 
 
 def _threshold(weights: DataFrame, margin: float) -> float:
     """The least Gumbel key of the sample: as many documents as have a log weight of ``-margin`` or more."""
-    k = weights.filter(F.col("__log_weight") >= -margin).count()
-    least = kth_largest(weights, "__gumbel", k)
+    k = weights.filter(F.col("log_weight") >= -margin).count()
+    least = kth_largest(weights, "gumbel", k)
     return float("inf") if least is None else least
 
 
@@ -173,18 +179,15 @@ def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     text than as target; Gumbel top-k draws it. Texts without words have log weight 0.
     Runs jobs when called.
     """
-    model = fit_importance(docs, labels, key, text)
-    slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
-    weights = store(_weighed(slim, model, key, "__text").drop("__text"), "weights")
-    least = _threshold(weights, margin)
-    kept = F.col("__gumbel") >= F.lit(least)
-    return weights.select(key, F.col("__log_weight").alias("log_weight"), F.col("__gumbel").alias("gumbel"), kept.alias("kept"))
+    weights = _weights(docs, fit_importance(docs, labels, key, text), key, text)
+    kept = F.col("gumbel") >= F.lit(_threshold(weights, margin))
+    return weights.select(F.col("key").alias(key), "log_weight", "gumbel", kept.alias("kept"))
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", margin: float = 15.0) -> DataFrame:
     """All columns of the sampled documents. Weights are computed again rather than joined, so texts are not shuffled."""
     model = fit_importance(docs, labels, key, text)
-    slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("__text"))
-    weights = store(_weighed(slim, model, key, "__text").select("__log_weight", "__gumbel"), "weights")
-    found = _weighed(docs, model, key, text).filter(F.col("__gumbel") >= F.lit(_threshold(weights, margin)))
+    least = _threshold(_weights(docs, model, key, text), margin)
+    weight, gumbel = fresh(docs, "__log_weight"), fresh(docs, "__gumbel")
+    found = _weighed(docs, model, key, text, weight, gumbel).filter(F.col(gumbel) >= F.lit(least))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])

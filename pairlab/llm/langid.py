@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import as_bytes, int_crc, rows_of, store
+from pairlab.llm.common import as_bytes, fresh, int_crc, rows_of, store
 
 #: Bits of a code point; up to three of them fill a 64-bit integer.
 POINT_BITS = 21
@@ -164,7 +164,7 @@ def identify_languages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05) -> DataFrame:
     """All columns of the documents with a letter whose nearest profile shares at least ``least`` of their order."""
     profiles = fit_profiles(docs.filter(~held_out(key)), text, lang)
-    column = "__language"
+    column = fresh(docs, "__language")
     found = docs.withColumn(column, predicted_language(profiles, text))
     kept = (F.col(f"{column}.lang") != UNKNOWN) & (F.col(f"{column}.score") >= least)
     return found.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

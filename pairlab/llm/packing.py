@@ -17,6 +17,7 @@ import functools
 import heapq
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,7 +46,7 @@ class WordTokens:
     classes all Unicode versions agree on, go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 80_000):
+    def __init__(self, path: str, memo: int = 130_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import normalizers
 
@@ -56,7 +57,9 @@ class WordTokens:
         self.unusual = regex.compile(rf"[^{USUAL}]" + (f"|{special}" if special else ""))
         self.splitter = regex.compile(WORDS)
         self.units: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.old_units: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
 
     def _library(self):
         from tokenizers import Tokenizer
@@ -71,22 +74,36 @@ class WordTokens:
         """The library's tokenizer for texts that go to it whole."""
         return self._library()
 
+    def _split(self, unit: str) -> list[str]:
+        """Words of a unit; letters alone, and letters with one mark behind them, need no pattern."""
+        if unit.isalpha():
+            return [unit]
+        if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.splitter.findall(unit)
+
     def _learn(self, units: set[str]) -> None:
-        """Bring units (runs without white space) into the memo."""
-        for unit in [u for u in units if u in self.old]:
-            self.units[unit] = self.old.pop(unit)
-        pieces = {unit: self.splitter.findall(unit) for unit in units.difference(self.units)}
-        new = list({word for words in pieces.values() for word in words})
-        coded = self.words.encode_batch_fast(new, add_special_tokens=False)
-        known = {word: np.array(x.ids, "<u4").tobytes() for word, x in zip(new, coded)}
+        """Bring units (runs without white space) and their words into the memos, of two generations each."""
+        if len(self.known) >= 2 * self.memo:
+            self.old_known, self.known = self.known, {}
+        for unit in [u for u in units if u in self.old_units]:
+            self.units[unit] = self.old_units.pop(unit)
+        pieces = {unit: self._split(unit) for unit in units.difference(self.units)}
+        new = {word for words in pieces.values() for word in words}.difference(self.known)
+        for word in [w for w in new if w in self.old_known]:
+            self.known[word] = self.old_known.pop(word)
+        new = list(new.difference(self.known))
+        for word, coded in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[word] = array("I", coded.ids).tobytes()
+        known = self.known
         for unit, words in pieces.items():
-            self.units[unit] = b"".join([known[word] for word in words])
+            self.units[unit] = known[words[0]] if len(words) == 1 else b"".join([known[word] for word in words])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
         usual = [None if self.unusual.search(t) else t.replace("Σ", "σ").lower().split() for t in texts]
         if len(self.units) >= self.memo:
-            self.old, self.units = self.units, {}
+            self.old_units, self.units = self.units, {}
         self._learn(set().union(*[u for u in usual if u]).difference(self.units))
         out = []
         for text, units in zip(texts, usual):

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.common import fresh
+
 #: Hexadecimal digits of the digest that make the draw: 48 bits, exact as a double.
 DRAW_DIGITS = 12
 #: Records of one shard are counted in 16 ** 3 slices of the key's digest.
@@ -50,18 +52,18 @@ def number_slots(
     first number, so no task sorts a whole shard. Rows alike in key and ``then`` get
     neighbouring numbers. The count has at most 4096 rows per shard.
     """
-    name = "__slice"
+    part, rank, first, n = (fresh(records, x) for x in ("__slice", "__rank", "__first", "__n"))
     text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
-    sliced = records.withColumn(name, F.substring(F.md5(text.cast("binary")), 1, SLICE_DIGITS))
-    counts = sliced.groupBy(shard, name).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(shard, name, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy(shard, name).orderBy(key, *then)
+    sliced = records.withColumn(part, F.substring(F.md5(text.cast("binary")), 1, SLICE_DIGITS))
+    counts = sliced.groupBy(shard, part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(shard, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(shard, part).orderBy(key, *then)
     return (
-        sliced.withColumn("__rank", F.row_number().over(within))
-        .join(firsts, [shard, name])
-        .withColumn(slot, F.col("__first") + F.col("__rank") - 1)
-        .drop("__first", "__rank", name)
+        sliced.withColumn(rank, F.row_number().over(within))
+        .join(firsts, [shard, part])
+        .withColumn(slot, F.col(first) + F.col(rank) - 1)
+        .drop(first, rank, part)
     )
 
 
