@@ -141,12 +141,21 @@ def fit_all(
     return {s.name: m for s, m in zip(specialists, models) if m is not None}
 
 
+def _set_aside(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Copies of the kept columns, which imputing does not touch."""
+    return df.withColumns({f"_given_{c}": F.col(f"`{c}`") for c in keep})
+
+
+def _as_given(keep: Sequence[str]) -> list[Column]:
+    return [F.col(f"`_given_{c}`").alias(c) for c in keep]
+
+
 def score_ensemble(
     df: DataFrame, models: Mapping[str, PipelineModel], specialists: Sequence[Specialist], keep: Sequence[str]
 ) -> DataFrame:
     """(keep…, p_<name>…): probability of the first side per specialist; NULL without a model."""
     features = sorted({f for s in specialists for f in available(df, s.features)})
-    out = impute_features(df, features)
+    out = impute_features(_set_aside(df, keep), features)
     columns = []
     for spec in specialists:
         if spec.name in models:
@@ -154,7 +163,7 @@ def score_ensemble(
             columns.append(vector_to_array(f"_prob_{spec.name}")[1].alias(f"p_{spec.name}"))
         else:
             columns.append(F.lit(None).cast("double").alias(f"p_{spec.name}"))
-    return out.select(*keep, *columns)
+    return out.select(*_as_given(keep), *columns)
 
 
 def out_of_fold(
@@ -192,8 +201,8 @@ def fit_meta(
 
 
 def score_meta(meta: DataFrame, model: PipelineModel, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    scored = model.transform(impute_features(meta, features))
-    return scored.select(*keep, vector_to_array("_prob_meta")[1].alias("prob"))
+    scored = model.transform(impute_features(_set_aside(meta, keep), features))
+    return scored.select(*_as_given(keep), vector_to_array("_prob_meta")[1].alias("prob"))
 
 
 def save_models(models: Mapping[str, PipelineModel], root: str) -> None:
@@ -205,8 +214,9 @@ def load_models(root: str, names: Sequence[str]) -> dict[str, PipelineModel]:
     return {name: PipelineModel.load(f"{root}/{name}") for name in names}
 
 
-def feature_importance(df: DataFrame, model: PipelineModel, features: Sequence[str], n: int = 15) -> DataFrame:
-    """(feature, importance) of a tree model, best first. One row per feature column."""
+def feature_importance(df: DataFrame, model: PipelineModel, n: int = 15) -> DataFrame:
+    """(feature, importance) of a tree model, best first. One row per column it was fitted on."""
+    features = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray().tolist()
     rows = df.sparkSession.createDataFrame(
         [(f, i, v) for i, (f, v) in enumerate(zip(features, values))], "feature string, pos int, importance double"

@@ -14,13 +14,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.session import cut_lineage
 
 
 _RANGE = ["_lo", "_hi"]
+LARGEST = 1.7976931348623157e308
+
+
+def _spread(x: Column) -> Column:
+    """A scale on which bins are even: nearly x for small values, its logarithm for large ones.
+
+    It rises with x and stays finite, so one extreme value neither overflows the width of
+    a range nor leaves all others in one bin. Only the bins depend on it, not the result.
+    """
+    return F.signum(x) * F.log1p(F.least(F.abs(x), F.lit(LARGEST)))
 
 
 def _counted(df: DataFrame, wanted: DataFrame, group: list[str], value: str, bins: int | None) -> DataFrame:
@@ -33,7 +43,8 @@ def _counted(df: DataFrame, wanted: DataFrame, group: list[str], value: str, bin
     if bins is None:
         part = F.col(value)
     else:
-        share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
+        low = _spread(F.col("_lo"))
+        share = F.try_divide(_spread(F.col(value)) - low, _spread(F.col("_hi")) - low)
         part = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
     counts = inside.groupBy(*group, *_RANGE, "_below", part.alias("_part")).agg(
         F.count(F.lit(1)).alias("_n"), F.min(value).alias("_from"), F.max(value).alias("_to")
@@ -69,6 +80,7 @@ def order_statistics(
     of them, as happens when outliers stretch the range; the result is the same.
     """
     group = list(group)
+    before = None
     ranks = cut_lineage(wanted.distinct().withColumn("_below", F.lit(0).cast("bigint")), "ranges")
     for _ in range(max_levels):
         found = _locate(ranks, _counted(df, ranks, group, value, bins), group)
@@ -85,8 +97,9 @@ def order_statistics(
         )
         widest = ranks.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0
         ranks = ranks.drop("_n")
-        if widest <= max_left:
+        if widest <= max_left or widest == before:  # a level that narrows nothing is the last
             break
+        before = widest
     # What is left of each range is counted by value, so ties are one row.
     last = _locate(ranks, _counted(df, ranks, group, value, None), group)
     return last.select(*group, "_rank", F.col("_from").alias("_v"))

@@ -1,4 +1,8 @@
-"""Queries that fit Spark ML models on the pair features. Fits are kept small here."""
+"""Queries that fit Spark ML models on the pair features.
+
+The forest and the boosted trees have fewer trees here than by default, but for
+``fit_forest``, which is at full size.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,8 @@ SELECTED = ("seed_diff", "margin_gap", "diff_qty_season", "diff_price_last3", "d
 CLOSE = ("seed_pct_diff", "log_seed_ratio", "diff_qty_last3", "diff_awaygap_price", "diff_price_season")
 LATE = ("seed_pct_diff", "log_seed_ratio", "diff_price_season", "diff_disc_away", "diff_never_collected")
 CURATED = ("seed_diff", "seed_sum", "volume_index", "diff_price_season")
-SPECIALISTS = ensemble.with_iterations(
-    ensemble.default_specialists(SELECTED, CLOSE, LATE, CURATED), iterations=3, trees=8
-)
+FULL = {s.name: s for s in ensemble.default_specialists(SELECTED, CLOSE, LATE, CURATED)}
+SPECIALISTS = ensemble.with_iterations(list(FULL.values()), iterations=3, trees=8)
 BY_NAME = {s.name: s for s in SPECIALISTS}
 KEEP = ("game_id", "period", "winner", "seed_diff", "seed_sum", "seed_pct_diff", "log_seed_ratio",
         "round_number", "round_group", "seed_diff_bucket")
@@ -25,11 +28,11 @@ def training_frame(spark, sf):
     """The columns the models use, stored once: every fold and fit reads them again."""
     df = views.pair_features(spark, sf)
     wanted = sorted({f for s in SPECIALISTS for f in s.features if f in df.columns} | set(KEEP))
-    return cut_lineage(df.select(*wanted))
+    return cut_lineage(df.select(*wanted), "training", by=("period",))
 
 
-def _fit_one(spark, sf, name):
-    df, spec = training_frame(spark, sf), BY_NAME[name]
+def _fit_one(spark, sf, name, spec=None):
+    df, spec = training_frame(spark, sf), spec or BY_NAME[name]
     models = {name: ensemble.fit_specialist(df, spec)}
     scored = ensemble.score_ensemble(df, models, [spec], ["period", "winner"])
     return rounded(evaluation.metrics(scored, ["period"], f"p_{name}"))
@@ -52,7 +55,8 @@ def fit_late(spark, sf):
 
 @register("fit_forest")
 def fit_forest(spark, sf):
-    return _fit_one(spark, sf, "forest")
+    """The forest with all its trees."""
+    return _fit_one(spark, sf, "forest", FULL["forest"])
 
 
 @register("score_ensemble")
@@ -65,11 +69,9 @@ def score_ensemble(spark, sf):
 
 @register("logo_oof")
 def logo_oof(spark, sf):
-    """Out-of-fold predictions of two specialists for every year."""
+    """Out-of-fold predictions of all specialists for every year."""
     return rounded(
-        ensemble.out_of_fold(
-            training_frame(spark, sf), [BY_NAME["late"], BY_NAME["forest"]], "period", ["game_id", "period", "winner"]
-        )
+        ensemble.out_of_fold(training_frame(spark, sf), SPECIALISTS, "period", ["game_id", "period", "winner"])
     )
 
 
@@ -77,11 +79,8 @@ def logo_oof(spark, sf):
 def fit_meta(spark, sf):
     """Stacked probability per contest: meta-learner over out-of-fold predictions."""
     df = training_frame(spark, sf)
-    oof = cut_lineage(
-        ensemble.out_of_fold(df, [BY_NAME["late"], BY_NAME["forest"]], "period", list(KEEP))
-    )
-    preds = ["p_late", "p_forest"]
-    meta = oof.select("game_id", "winner", *meta_columns(preds))
+    oof = cut_lineage(ensemble.out_of_fold(df, SPECIALISTS, "period", list(KEEP)))
+    meta = oof.select("game_id", "winner", *meta_columns(PREDS))
     features = [c for c in meta.columns if c not in ("game_id", "winner")]
     model = ensemble.fit_meta(meta, features)
     return rounded(ensemble.score_meta(meta, model, features, ["game_id", "winner"]))
@@ -91,12 +90,12 @@ def fit_meta(spark, sf):
 def persist_model(spark, sf):
     """Accuracy per year of models that were stored and read back."""
     df = training_frame(spark, sf)
-    chosen = [BY_NAME["late"], BY_NAME["forest"]]
+    chosen = SPECIALISTS
     root = scratch_path(spark, "models")
     ensemble.save_models(ensemble.fit_all(df, chosen), root)
     loaded = ensemble.load_models(root, [s.name for s in chosen])
     scored = ensemble.score_ensemble(df, loaded, chosen, ["period", "winner"])
-    long = evaluation.predictions_long(scored, ["p_late", "p_forest"], ["period", "winner"])
+    long = evaluation.predictions_long(scored, PREDS, ["period", "winner"])
     return rounded(evaluation.metrics(long, ["model", "period"]))
 
 
@@ -112,4 +111,4 @@ def legacy_ensemble(spark, sf):
 def feature_importance(spark, sf):
     df, spec = training_frame(spark, sf), BY_NAME["general"]
     model = ensemble.fit_specialist(df, spec)
-    return rounded(ensemble.feature_importance(df, model, spec.features))
+    return rounded(ensemble.feature_importance(df, model))

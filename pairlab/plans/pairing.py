@@ -92,25 +92,24 @@ def stat_diff(spark, sf):
     f"{WITH_JOINED} SELECT game_id, "
     + ", ".join(
         f"{r(pct(f'a_{s}', f'b_{s}'))} AS pctdiff_{s}, "
-        f"{r(pct(f'(a_{s} - 25)', f'(b_{s} - 25)', 'abs_clip'), 4)} AS shifted_{s}"
-        for s in ("qty_season", "qty_last3", "price_away")
+        f"{r(pct(f'(a_{s} - 25)', f'(b_{s} - 25)', 'abs_clip'), 4)} AS pctdiff_less25_{s}"
+        for s in STATS
     )
     + " FROM joined",
 )
 def stat_pctdiff(spark, sf):
-    """Both denominators; the shifted twin has averages of either sign."""
+    """Both denominators of every statistic; the lowered twin has averages of either sign."""
     df = views.joined_pairs(spark, sf)
-    chosen = ("qty_season", "qty_last3", "price_away")
-    shifted = df.select(
-        *[
-            (F.col(c) - 25).alias(c) if c[2:] in chosen else F.col(c)
-            for c in ["game_id", *[f"{side}_{s}" for side in ("a", "b") for s in chosen]]
-        ]
+    sides = [f"{side}_{s}" for side in ("a", "b") for s in STATS]
+    twins = [(F.col(c) - 25).alias(f"{c[:2]}less25_{c[2:]}") for c in sides]
+    both = df.select("game_id", *sides, *twins)
+    plain = features.stat_pctdiffs(both, STATS)
+    lowered = features.stat_pctdiffs(both, [f"less25_{s}" for s in STATS], "abs_clip")
+    return both.select(
+        "game_id",
+        *[F.round(c, 6).alias(f"pctdiff_{s}") for c, s in zip(plain, STATS)],
+        *[F.round(c, 4).alias(f"pctdiff_less25_{s}") for c, s in zip(lowered, STATS)],
     )
-    plain = rounded(df.select("game_id", *features.stat_pctdiffs(df, chosen)))
-    twin = features.stat_pctdiffs(shifted, chosen, "abs_clip")
-    other = shifted.select("game_id", *[c.alias(f"shifted_{s}") for c, s in zip(twin, chosen)])
-    return plain.join(rounded(other, 4), "game_id")
 
 
 @register(

@@ -133,6 +133,9 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
 def games(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Away and home side of every order with at least two suppliers.
 
+    A contest is defined as the first two suppliers of an order, by the line on which
+    they first appear; it stands for the pair table that a user brings, and lines of
+    further suppliers belong to no contest.
     Each side takes name, seed and the ``extra`` profile columns in one join.
     """
     line = read_table(spark, sf, "lineitem")

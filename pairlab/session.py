@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,29 +37,45 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session (whose executor is the driver) gets a temporary folder; any other one
+    fails, since executors would not see each other's files.
     """
     global _fallback_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="pairlab-")
     return _fallback_dir
 
 
+def session_root(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/pairlab-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's part of the shared folder."""
+    return f"{session_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all stages this application has stored; frames built on them can't be read afterwards."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(session_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
-def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str = "stage", by: Sequence[str] = ()) -> DataFrame:
     """Write the frame to the shared folder and go on from the stored copy.
 
-    The copy survives the loss of any executor, is read column by column, and
-    carries true sizes for the joins that follow.
+    Runs a job when called. The copy survives the loss of any executor, is read column
+    by column, and carries true sizes for the joins that follow. ``by`` names columns
+    that become folders, so that a filter on them reads only those.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

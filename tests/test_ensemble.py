@@ -76,10 +76,27 @@ def test_stored_models_score_the_same(spark, tmp_path):
     a = ensemble.score_ensemble(df, models, specs, ["id"]).orderBy("id").collect()
     b = ensemble.score_ensemble(df, loaded, specs, ["id"]).orderBy("id").collect()
     assert a == b
-    top = ensemble.feature_importance(df, models["general"], ("x1", "x2")).collect()
+    top = ensemble.feature_importance(df, models["general"]).collect()
     assert len(top) == 2 and top[0]["importance"] >= top[1]["importance"]
 
 
+def test_importances_carry_the_names_of_fitted_columns(spark):
+    rows = [(i, float((i * 7) % 11), int(i % 4 < 2), float(i % 4 < 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, x1 double, winner int, x2 double")
+    spec = ensemble.Specialist("m", "boosted", ("x1", "absent", "x2"), params={**ensemble.GENERAL, "iterations": 2, "rows": 1.0, "columns": "all"})
+    got = {r["feature"]: r["importance"] for r in ensemble.feature_importance(df, ensemble.fit_specialist(df, spec)).collect()}
+    assert set(got) == {"x1", "x2"} and got["x2"] == pytest.approx(1.0)
+
+
+def test_kept_columns_stay_as_they_are(spark):
+    df, data = make(spark)
+    spec = ensemble.Specialist("m", "logistic", ("x1", "x2"), params={"c": 1.0})
+    scored = ensemble.score_ensemble(df, {"m": ensemble.fit_specialist(df, spec)}, [spec], ["id", "x2"])
+    assert {r["id"]: r["x2"] for r in scored.collect()} == {r[0]: r[4] for r in data}
+    meta = ensemble.score_meta(df, ensemble.fit_meta(df, ["x1", "x2"]), ["x1", "x2"], ["id", "x2"])
+    assert {r["id"]: r["x2"] for r in meta.collect()} == {r[0]: r[4] for r in data}
+
+
 def test_meta_learner_and_averaged_folds(spark):
     df, data = make(spark)
     model = ensemble.fit_meta(df, ["x1", "x2"])

@@ -85,6 +85,7 @@ def test_exact_quantiles_match_numpy(spark, max_left):
         "normal": rng.normal(size=501),
         "tied": np.r_[np.zeros(400), rng.normal(size=100)],
         "outlier": np.r_[rng.normal(size=300), 1e12, -1e9],
+        "largest": np.r_[rng.normal(size=300), 1.7e308, -1.7e308],
         "one": np.array([4.0]),
         "two": np.array([1.0, 2.0]),
     }
