@@ -37,8 +37,16 @@ def words_of(text: bytes, hasher: WordHasher) -> np.ndarray:
     return np.append(hasher(text), END)
 
 
+def words_before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The word before each one; the end of a text before the first of the next."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[starts] = END
+    return before
+
+
 def pairs_of(words: np.ndarray) -> np.ndarray:
-    return mix(np.concatenate([[END], words[:-1]]), words)
+    return mix(words_before(words, np.array([0])), words)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -183,17 +191,22 @@ class Model:
     head_counts: np.ndarray
     mu: float
 
-    def score(self, words: np.ndarray) -> float:
-        """log10 probability of a text."""
-        kinds, back = np.unique(words, return_inverse=True)
+    def score(self, kinds: np.ndarray, back: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of texts, whose words ``kinds[back]`` lie one after another from ``starts`` on.
+
+        The distinct words and pairs of all texts are probed together.
+        """
+        words = kinds[back]
         count = self.filter.word_values[self.filter.level(kinds)]
         single = ((count + 1.0) / (self.tokens + self.distinct + 1.0))[back]
-        pairs, back_pairs = np.unique(pairs_of(words), return_inverse=True)
+        pairs, back_pairs = np.unique(mix(words_before(words, starts), words), return_inverse=True)
         together = self.filter.pair_values[self.filter.level(pairs)][back_pairs]
-        end = self.filter.word_values[self.filter.level(np.array([END]))]
-        before = np.concatenate([end, count[back][:-1]])
-        together = np.minimum(together, np.minimum(before, count[back]))
-        return float(np.log10((together + self.mu * single) / (before + self.mu)).sum())
+        count = count[back]
+        before = np.empty(len(count))
+        before[1:] = count[:-1]
+        before[starts] = self.filter.word_values[self.filter.level(np.array([END]))]
+        together = np.minimum(together, np.minimum(before, count))
+        return np.add.reduceat(np.log10((together + self.mu * single) / (before + self.mu)), starts)
 
 
 def _level_sums(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -349,17 +362,22 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
 
     def run(batches):
         own, hasher = shared.value, WordHasher()
-        for batch in rows_of(batches):
-            made = []
-            for data in batch.column("text").to_pylist():
-                words = words_of(data, hasher)
-                kinds, times = np.unique(words, return_counts=True)
-                count = lookup(own.head, own.head_counts, kinds)
-                rare = count == 0
-                base = float((times * np.log10((count + 1.0) / total))[~rare].sum())
-                made.append((len(words), int(times[~rare].sum()), base, own.score(words), kinds[rare].tobytes(), times[rare].astype("<u4").tobytes()))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*made), kinds_of)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *columns], names)
+        for batch in rows_of(batches, 1024):
+            texts = [words_of(data, hasher) for data in batch.column("text").to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            starts = np.cumsum(sizes) - sizes
+            words = np.concatenate(texts)
+            distinct, back = np.unique(words, return_inverse=True)
+            count = lookup(own.head, own.head_counts, distinct)[back]
+            known = count > 0
+            base = np.add.reduceat(np.where(known, np.log10((count + 1.0) / total), 0.0), starts)
+            rare, n_rare = [], []
+            for text, seen in zip(texts, np.split(known, starts[1:])):
+                kinds, times = np.unique(text[~seen], return_counts=True)
+                rare.append(kinds.tobytes())
+                n_rare.append(times.astype("<u4").tobytes())
+            columns = [sizes, np.add.reduceat(known.astype(np.int64), starts), base, own.score(distinct, back, starts), rare, n_rare]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *map(pa.array, columns, kinds_of)], names)
 
     kinds_of = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
     names = ["key", "held_out", "n_tokens", "head_known", "head_score", "score", "rare", "n_rare"]
