@@ -14,6 +14,7 @@ from pairlab.llm.importance import resample
 from pairlab.llm.langid import identify_languages
 from pairlab.llm.lm import not_held_out, score_texts
 from pairlab.llm.metric_join import cosine_components
+from pairlab.llm.oracles import ORACLES as SQL
 from pairlab.llm.packing import pack_documents
 from pairlab.llm.quality_rules import apply_rules
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
@@ -23,7 +24,7 @@ from pairlab.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(SQL)
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SHARDS = 24
