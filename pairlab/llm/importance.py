@@ -9,6 +9,7 @@ a sample without replacement is drawn in proportion to the weights by Gumbel top
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -62,11 +63,17 @@ class Features:
         return np.concatenate([slots, shapes + WORD_SLOTS, pairs])
 
 
+@functools.cache
+def load_features() -> Features:
+    """One memo per worker process."""
+    return Features()
+
+
 def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Occurrences of every slot in the documents' whole texts. Runs a job; ``SLOTS`` sums reach the driver."""
 
     def run(batches):
-        features, counts = Features(), np.zeros(SLOTS, np.int64)
+        features, counts = load_features(), np.zeros(SLOTS, np.int64)
         for batch in rows_of(batches):
             for data in batch.column("text").to_pylist():
                 np.add.at(counts, features(data), 1)
@@ -106,7 +113,7 @@ class ImportanceModel:
 
         @F.arrow_udf("double")
         def weigh(texts: pa.Array) -> pa.Array:
-            features = Features()
+            features = load_features()
             return pa.array([float(table[features(t)].sum()) for t in texts.to_pylist()], pa.float64())
 
         return weigh.asNondeterministic()(as_bytes(text))  # evaluated once, also where it is filtered
