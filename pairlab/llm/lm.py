@@ -3,14 +3,15 @@
 Counts of all words and word pairs of the training texts are summed exactly. Each is
 quantised to a level, 1 + floor(log2 count), and the filter holds the n-gram once for
 every level up to its own; a count is read back by probing level after level until one
-is missing. The filter has a bounded number of bits and goes to every worker. Pairs are
-smoothed with the words' own probabilities:
+is missing. The filter lies in segments, one for each bucket of hashes, that are sized
+by the n-grams they hold, so it grows with the texts and no n-gram is left out. Texts
+are read in blocks that ask the buckets for their distinct words and pairs; no worker
+holds more than a segment at once. Pairs are smoothed with the words' own probabilities:
 
     P(w | v) = (c(v w) + mu * P(w)) / (c(v) + mu),   P(w) = (c(w) + 1) / (N + V + 1)
 
-Words are named by 64-bit hashes. The exact word counts of the base score do not come
-from the filter: frequent words are a bounded table at every worker, and all others are
-looked up by a shuffle of packed arrays.
+Words are named by 64-bit hashes. The word counts of the base score do not come from
+the filter: the buckets answer with the exact ones too.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +30,9 @@ from pairlab.llm.common import WordHasher, as_bytes, input_parts, int_crc, mix,
 #: The end of a text, counted as a word; a text is read as if one came before it.
 END = np.uint64(0xE0D0F7E87)
 PROBES, LEVELS = 4, 64
-#: Most bits of the filter (32 MB), bits wanted per level held, words in the table at every worker,
+#: Bits of the filter per level held, words at the head of a task's texts that are asked for together,
 #: words counted at once in a task, and the weight of the words' own probabilities.
-MOST_BITS, BITS_PER_LEVEL, HEAD, AT_ONCE, MU = 1 << 28, 8, 1 << 18, 1 << 21, 2000.0
+BITS_PER_LEVEL, HEAD, AT_ONCE, MU = 8, 1 << 20, 1 << 21, 2000.0
 
 
 def words_of(text: bytes, hasher: WordHasher) -> np.ndarray:
@@ -53,6 +55,26 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(counts)).astype(np.int64) + 1
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    planes = pa.decompress(blob[8:], 8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<u8").ravel()
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob), dtype=np.uint64)
+
+
 def _power_of_two(least: int) -> int:
     return 1 << max(0, int(least) - 1).bit_length()
 
@@ -77,7 +99,7 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 
 def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
-    """(bucket, words, n_words, pairs, n_pairs): sorted hashes and their counts, packed, one row per bucket.
+    """(bucket, words, n_words, pairs, n_pairs, bits): sorted hashes, their counts and the filter's segment, one row per bucket.
 
     ``docs`` holds text as bytes. Tasks count a block of words at a time and hand on the
     distinct ones, so a frequent word travels once per block. Pairs seen fewer than
@@ -92,7 +114,7 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
             for kind, arrays in (("w", held), ("p", [pairs_of(w) for w in held])):
                 keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
                 found = list(_by_bucket(keys, bits))
-                blobs = [(keys[i:j].tobytes(), counts[i:j].astype("<u4").tobytes()) for _, i, j in found]
+                blobs = [(_pack_sorted(keys[i:j]), _pack(counts[i:j])) for _, i, j in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([b for b, _, _ in found], pa.int64()), pa.array([kind] * len(found)), *(pa.array(c, pa.binary()) for c in zip(*blobs))],
                     ["bucket", "kind", "keys", "counts"],
@@ -109,18 +131,20 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
             yield from out()
 
     def merge(batches):
-        names = ["bucket", "words", "n_words", "pairs", "n_pairs"]
+        names = ["bucket", "words", "n_words", "pairs", "n_pairs", "bits"]
         bucket, held = None, {"w": ([], []), "p": ([], [])}
 
         def out():
             sums = {}
             for kind, (keys, counts) in held.items():
-                sums[kind] = _unique_sums(np.frombuffer(b"".join(keys), "<u8"), np.frombuffer(b"".join(counts), "<u4").astype("<i8"))
+                none = np.zeros(0, np.uint64)
+                sums[kind] = _unique_sums(np.concatenate([none, *map(_unpack_sorted, keys)]), np.concatenate([none, *map(_unpack, counts)]).astype("<i8"))
                 keys.clear()
                 counts.clear()
             (w, nw), (p, np_) = sums["w"], sums["p"]
             often = np_ >= least_pair
-            blobs = [w.tobytes(), nw.tobytes(), p[often].tobytes(), np_[often].tobytes()]
+            p, np_ = p[often], np_[often]
+            blobs = [w.tobytes(), nw.tobytes(), p.tobytes(), np_.tobytes(), segment_of(w, nw, p, np_)]
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names)
 
         for batch in batches:
@@ -135,79 +159,72 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
 
     blobs = docs.mapInArrow(count, "bucket bigint, kind string, keys binary, counts binary")
     placed = blobs.repartition(max(1, 1 << bits), "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(merge, "bucket bigint, words binary, n_words binary, pairs binary, n_pairs binary")
+    return placed.mapInArrow(merge, "bucket bigint, words binary, n_words binary, pairs binary, n_pairs binary, bits binary")
+
+
+#: The first bits of a name, all that the filter knows of it: false hits are far more frequent than names alike in them.
+SHORT = np.uint64((1 << 64) - (1 << 16))
+
+
+def _places(keys: np.ndarray, level: int, segment_bits: int) -> Iterator[np.ndarray]:
+    for probe in range(PROBES):
+        yield mix(keys & SHORT, np.uint64(level * PROBES + probe)) % np.uint64(segment_bits)
+
+
+def segment_of(words: np.ndarray, n_words: np.ndarray, pairs: np.ndarray, n_pairs: np.ndarray) -> bytes:
+    """The bits of one bucket's n-grams, ``BITS_PER_LEVEL`` for each of their levels."""
+    held = int(levels_of(n_words).sum() + levels_of(n_pairs).sum())
+    flags = np.zeros(max(64, -(-held * BITS_PER_LEVEL // 8) * 8), bool)
+    for keys, counts in ((words, n_words), (pairs, n_pairs)):
+        tops = levels_of(counts)
+        for level in range(1, int(tops.max(initial=0)) + 1):
+            for place in _places(keys[tops >= level], level, len(flags)):
+                flags[place] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def probe_segment(segment: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The last level, counted from 1, up to which all probes are met."""
+    found = np.zeros(len(keys), np.int64)
+    alive = np.arange(len(keys)) if len(segment) else np.zeros(0, np.int64)
+    for level in range(1, LEVELS):
+        if not len(alive):
+            break
+        own = keys[alive]
+        met = np.ones(len(own), bool)
+        for place in _places(own, level, 8 * len(segment)):
+            met &= (segment[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        alive = alive[met]
+        found[alive] = level
+    return found
 
 
 @dataclass(frozen=True)
 class LogFrequencyFilter:
-    """Bits in segments; the first bits of an n-gram name its segment. ``values`` gives the mean count of a level."""
+    """Stored segments; the first bits of an n-gram name its bucket. ``values`` give the mean count of a level."""
 
-    bits: np.ndarray
-    segment_bits: int
+    segments: DataFrame
     bucket_bits: int
     word_values: np.ndarray
     pair_values: np.ndarray
 
-    @staticmethod
-    def places(keys: np.ndarray, level: int, segment_bits: int, bucket_bits: int) -> Iterator[np.ndarray]:
-        segment = keys >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(keys), np.uint64)
-        for probe in range(PROBES):
-            within = mix(keys, np.uint64(level * PROBES + probe)) % np.uint64(segment_bits)
-            yield segment * np.uint64(segment_bits) + within
-
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """The last level, counted from 1, up to which all probes are met."""
+        """The levels of a few keys, whose segments are fetched. Runs a job."""
+        bucket = (keys >> np.uint64(64 - self.bucket_bits)).astype(np.int64) if self.bucket_bits else np.zeros(len(keys), np.int64)
         found = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        for level in range(1, LEVELS):
-            own = keys[alive]
-            met = np.ones(len(own), bool)
-            for place in self.places(own, level, self.segment_bits, self.bucket_bits):
-                met &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[met]
-            if not len(alive):
-                break
-            found[alive] = level
+        for row in self.segments.filter(F.col("bucket").isin(np.unique(bucket).tolist())).select("bucket", "bits").collect():
+            own = bucket == row["bucket"]
+            found[own] = probe_segment(np.frombuffer(row["bits"], np.uint8), keys[own])
         return found
 
 
-def segment_of(words: np.ndarray, n_words: np.ndarray, pairs: np.ndarray, n_pairs: np.ndarray, segment_bits: int, bucket_bits: int) -> bytes:
-    """The bits of one bucket's n-grams."""
-    flags = np.zeros(segment_bits, bool)
-    for keys, counts in ((words, n_words), (pairs, n_pairs)):
-        tops = levels_of(counts)
-        for level in range(1, int(tops.max(initial=0)) + 1):
-            for place in LogFrequencyFilter.places(keys[tops >= level], level, segment_bits, bucket_bits):
-                flags[(place % np.uint64(segment_bits)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
 @dataclass(frozen=True)
 class Model:
     filter: LogFrequencyFilter
     tokens: int
     distinct: int
-    head: np.ndarray
-    head_counts: np.ndarray
     mu: float
 
-    def score(self, kinds: np.ndarray, back: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of texts, whose words ``kinds[back]`` lie one after another from ``starts`` on.
-
-        The distinct words and pairs of all texts are probed together.
-        """
-        words = kinds[back]
-        count = self.filter.word_values[self.filter.level(kinds)]
-        single = ((count + 1.0) / (self.tokens + self.distinct + 1.0))[back]
-        pairs, back_pairs = np.unique(mix(words_before(words, starts), words), return_inverse=True)
-        together = self.filter.pair_values[self.filter.level(pairs)][back_pairs]
-        count = count[back]
-        before = np.empty(len(count))
-        before[1:] = count[:-1]
-        before[starts] = self.filter.word_values[self.filter.level(np.array([END]))]
-        together = np.minimum(together, np.minimum(before, count))
-        return np.add.reduceat(np.log10((together + self.mu * single) / (before + self.mu)), starts)
-
 
 def _level_sums(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """[word or pair, level]: how many n-grams and how many occurrences; 2 x 64 numbers reach the driver."""
@@ -230,63 +247,15 @@ def _level_sums(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return kinds, n
 
 
-def _least_level(kinds: np.ndarray, room: int) -> tuple[int, int]:
-    """The least level from which words, and pairs, are held, so that all their levels have room."""
-    first = [1, 1]
-    weight = np.arange(LEVELS)
-    held = lambda: sum(int((kinds[k] * weight)[first[k] :].sum()) for k in (0, 1))
-    while held() > room and min(first) < LEVELS - 1:
-        first[1 if first[1] <= first[0] + 2 else 0] += 1  # pairs seen rarely tell least
-    return first[0], first[1]
-
-
-def fit_model(docs: DataFrame, text: str = "text", mu: float = MU, most_bits: int = MOST_BITS, least_pair: int = 2) -> tuple[Model, DataFrame]:
-    """The model of the documents' whole texts, and the stored counts by bucket. Runs jobs.
-
-    Bits follow the size of the texts up to ``most_bits``. If the n-grams of all levels
-    would then get fewer than ``BITS_PER_LEVEL`` bits each, n-grams of the lowest levels
-    are left to the smoothing, so that false hits stay rare at any size; their counts
-    still enter N, V, the base score and the counts of longer texts.
-    """
+def fit_model(docs: DataFrame, text: str = "text", mu: float = MU, least_pair: int = 1) -> tuple[Model, DataFrame]:
+    """The model of the documents' whole texts, and the stored counts by bucket. Runs jobs."""
     source = docs.select(as_bytes(text).alias("text"))
-    size = int(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     bucket_bits = _power_of_two(2 * input_parts(docs)).bit_length() - 1
-    bits = min(most_bits, max(_power_of_two(4 * size), 1 << (bucket_bits + 6)))
     counts = store(count_ngrams(source, bucket_bits, least_pair), "ngrams")
     kinds, n = _level_sums(counts)
-    first_word, first_pair = _least_level(kinds, bits // BITS_PER_LEVEL)
-    segment_bits = bits >> bucket_bits
-
-    def build(batches):
-        for batch in batches:
-            out = []
-            for blobs in zip(*(batch.column(c).to_pylist() for c in ("words", "n_words", "pairs", "n_pairs"))):
-                words, n_words, pairs, n_pairs = (np.frombuffer(b, k) for b, k in zip(blobs, ("<u8", "<i8", "<u8", "<i8")))
-                word, pair = levels_of(n_words) >= first_word, levels_of(n_pairs) >= first_pair
-                out.append(segment_of(words[word], n_words[word], pairs[pair], n_pairs[pair], segment_bits, bucket_bits))
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(out, pa.binary())], ["bucket", "bits"])
-
-    filled = np.zeros(bits // 8, np.uint8)
-    for row in counts.mapInArrow(build, "bucket bigint, bits binary").collect():  # most_bits / 8 bytes in all
-        at = row["bucket"] * (segment_bits // 8)
-        filled[at : at + segment_bits // 8] = np.frombuffer(row["bits"], np.uint8)
-    upwards = kinds[0][::-1].cumsum()[::-1]
-    head_level = int(np.argmax(upwards <= HEAD))
-
-    def frequent(batches):
-        for batch in batches:
-            for blob, sums in zip(batch.column("words").to_pylist(), batch.column("n_words").to_pylist()):
-                keys, total = np.frombuffer(blob, "<u8"), np.frombuffer(sums, "<i8")
-                keep = levels_of(total) >= head_level
-                yield pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()]), pa.array([total[keep].tobytes()])], ["keys", "counts"])
-
-    rows = counts.select("words", "n_words").mapInArrow(frequent, "keys binary, counts binary").collect()  # HEAD words in all
-    head = np.frombuffer(b"".join(r[0] for r in rows), "<u8")
-    head_counts = np.frombuffer(b"".join(r[1] for r in rows), "<i8")
-    order = np.argsort(head)
     values = np.divide(n, kinds, out=np.zeros(n.shape), where=kinds > 0)
-    lossy = LogFrequencyFilter(filled, segment_bits, bucket_bits, _filled(values[0]), _filled(values[1]))
-    return Model(lossy, int(n[0].sum()), int(kinds[0].sum()), head[order], head_counts[order], mu), counts
+    lossy = LogFrequencyFilter(counts.select("bucket", "bits"), bucket_bits, _filled(values[0]), _filled(values[1]))
+    return Model(lossy, int(n[0].sum()), int(kinds[0].sum()), mu), counts
 
 
 def _filled(values: np.ndarray) -> np.ndarray:
@@ -295,49 +264,102 @@ def _filled(values: np.ndarray) -> np.ndarray:
     return np.where(values > 0, values, middle)
 
 
-def _rare_sums(scored: DataFrame, counts: DataFrame, bucket_bits: int, total: int) -> DataFrame:
-    """(row, rare_score, rare_known) of the words beyond the head: asked for bucket by bucket."""
+def _pack_words(words: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct words, and the number of each word's; a frequent one's is low."""
+    kinds, back, times = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(kinds))
+    return kinds[order].tobytes(), _pack(rank[back])
+
+
+def _unpack_words(kinds: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct words, place of each word among them)."""
+    found = np.frombuffer(kinds, "<u8")
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[_unpack(numbers).astype(np.int64)]
+
+
+def _block_pairs(kinds: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each text, sorted distinct pairs as the filter knows them, place of each word's pair among them)."""
+    starts, words = np.cumsum(sizes) - sizes, kinds[back]
+    return starts, *np.unique(mix(words_before(words, starts), words) & SHORT, return_inverse=True)
+
+
+def _blocks(source: DataFrame, kind: str, head: int) -> DataFrame:
+    """(block, keys, held_out, sizes, kinds, numbers): texts one after another, of about ``head`` words a block."""
+
+    def run(batches):
+        hasher, block = WordHasher(), TaskContext.get().partitionId() << 33
+        keys, outs, texts, size, type_ = [], [], [], 0, None
+
+        def out():
+            columns = [pa.array([block], pa.int64()), pa.array([keys], pa.list_(type_)), pa.array([outs], pa.list_(pa.bool_()))]
+            blobs = [np.array([len(t) for t in texts], "<i8").tobytes(), *_pack_words(np.concatenate(texts))]
+            names = ["block", "keys", "held_out", "sizes", "kinds", "numbers"]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array([b], pa.binary()) for b in blobs)], names)
+
+        for batch in rows_of(batches):
+            type_ = batch.column("key").type
+            for key, held_out, text in zip(*(batch.column(c).to_pylist() for c in ("key", "held_out", "text"))):
+                keys.append(key)
+                outs.append(held_out)
+                texts.append(words_of(text, hasher))
+                size += len(texts[-1])
+                if size >= head:
+                    yield out()
+                    keys, outs, texts, size, block = [], [], [], 0, block + 1
+        if texts:
+            yield out()
+
+    schema = f"block bigint, keys array<{kind}>, held_out array<boolean>, sizes binary, kinds binary, numbers binary"
+    return source.mapInArrow(run, schema)
+
+
+def _answers(blocks: DataFrame, counts: DataFrame, bucket_bits: int) -> DataFrame:
+    """(block, kind, bucket, levels, exact): what the buckets hold of the blocks' distinct words ("w") and pairs ("p"), in their order.
+
+    A block asks a bucket once for each of its n-grams, so a frequent one travels once a block.
+    """
 
     def ask(batches):
-        for batch in rows_of(batches, 4096):
-            rows, keys, times = [], [], []
-            for row, blob, tally in zip(*(batch.column(c).to_pylist() for c in ("row", "rare", "n_rare"))):
-                own = np.frombuffer(blob, "<u8")
-                rows.append(np.full(len(own), row, np.int64))
-                keys.append(own)
-                times.append(np.frombuffer(tally, "<u4"))
-            if not sum(map(len, keys)):
-                continue
-            row, key, tally = np.concatenate(rows), np.concatenate(keys), np.concatenate(times)
-            order = np.argsort(key, kind="stable")
-            row, key, tally = row[order], key[order], tally[order]
-            found = list(_by_bucket(key, bucket_bits))
-            columns = [pa.array([x[i:j].tobytes() for _, i, j in found], pa.binary()) for x in (row, key, tally)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in found], pa.int64()), *columns], ["bucket", "rows", "keys", "counts"])
-
-    asked = scored.select("row", "rare", "n_rare").mapInArrow(ask, "bucket bigint, rows binary, keys binary, counts binary")
-    known = counts.select("bucket", F.lit(None).cast("binary").alias("rows"), F.col("words").alias("keys"), F.col("n_words").alias("counts"))
-    both = known.withColumn("late", F.lit(False)).unionByName(asked.withColumn("late", F.lit(True)))
+        for batch in rows_of(batches, 1):
+            block, sizes, kinds, numbers = (batch.column(c)[0].as_py() for c in ("block", "sizes", "kinds", "numbers"))
+            sizes = np.frombuffer(sizes, "<i8")
+            words, back = _unpack_words(kinds, numbers)
+            for kind, keys in (("w", words), ("p", _block_pairs(words, back, sizes)[1])):
+                found = list(_by_bucket(keys, bucket_bits))
+                columns = [pa.array([b for b, _, _ in found], pa.int64()), pa.array([block] * len(found), pa.int64()), pa.array([kind] * len(found))]
+                asked = pa.array([_pack_sorted(keys[i:j]) for _, i, j in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, asked], ["bucket", "block", "kind", "keys"])
+
+    asked = blocks.select("block", "sizes", "kinds", "numbers").mapInArrow(ask, "bucket bigint, block bigint, kind string, keys binary")
+    none = F.lit(None).cast("binary")
+    known = counts.select("bucket", F.lit(None).cast("bigint").alias("block"), F.lit("").alias("kind"), F.col("words").alias("keys"), "n_words", "bits")
+    both = known.unionByName(asked.withColumns({"n_words": none, "bits": none}))
 
     def answer(batches):
-        bucket, words, sums = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        bucket = words = sums = segment = None
         for batch in batches:
-            for key, rows, keys, tally, late in zip(*(batch.column(c).to_pylist() for c in ("bucket", "rows", "keys", "counts", "late"))):
-                if key != bucket:
-                    bucket, words, sums = key, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if not late:
-                    words, sums = np.frombuffer(keys, "<u8"), np.frombuffer(tally, "<i8")
-                    continue
-                row, own, times = np.frombuffer(rows, "<i8"), np.frombuffer(keys, "<u8"), np.frombuffer(tally, "<u4").astype(np.int64)
-                count = lookup(words, sums, own)
-                kinds, back = np.unique(row, return_inverse=True)
-                score = np.bincount(back, times * np.log10((count + 1.0) / total), len(kinds))
-                seen = np.bincount(back, times * (count > 0), len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(score), pa.array(seen)], ["row", "rare_score", "rare_known"])
-
-    placed = both.repartition(1 << bucket_bits, "bucket").sortWithinPartitions("bucket", "late")
-    parts = placed.mapInArrow(answer, "row bigint, rare_score double, rare_known bigint")
-    return parts.groupBy("row").agg(F.sum("rare_score").alias("rare_score"), F.sum("rare_known").alias("rare_known"))
+            for part in rows_of([batch], 64):
+                rows = []
+                for own, block, kind, keys, n_words, bits in zip(*(part.column(c).to_pylist() for c in ("bucket", "block", "kind", "keys", "n_words", "bits"))):
+                    if own != bucket:
+                        bucket, words, sums, segment = own, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+                    if kind == "":
+                        words, sums, segment = np.frombuffer(keys, "<u8"), np.frombuffer(n_words, "<i8"), np.frombuffer(bits, np.uint8)
+                        continue
+                    asked = _unpack_sorted(keys)
+                    exact = _pack(lookup(words, sums, asked)) if kind == "w" else None
+                    rows.append((block, kind, bucket, _pack(probe_segment(segment, asked)), exact))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "bucket", "levels", "exact"])
+
+    placed = both.repartition(1 << bucket_bits, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    return placed.mapInArrow(answer, "block bigint, kind string, bucket bigint, levels binary, exact binary")
 
 
 def lookup(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -357,44 +379,55 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     """
     learn = F.coalesce(trained, F.lit(False))
     model, counts = fit_model(docs.filter(learn), text, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total = model.tokens + model.distinct + 1
-
-    def run(batches):
-        own, hasher = shared.value, WordHasher()
-        for batch in rows_of(batches, 1024):
-            texts = [words_of(data, hasher) for data in batch.column("text").to_pylist()]
-            sizes = np.array([len(t) for t in texts])
-            starts = np.cumsum(sizes) - sizes
-            words = np.concatenate(texts)
-            distinct, back = np.unique(words, return_inverse=True)
-            count = lookup(own.head, own.head_counts, distinct)[back]
-            known = count > 0
-            base = np.add.reduceat(np.where(known, np.log10((count + 1.0) / total), 0.0), starts)
-            rare, n_rare = [], []
-            for text, seen in zip(texts, np.split(known, starts[1:])):
-                kinds, times = np.unique(text[~seen], return_counts=True)
-                rare.append(kinds.tobytes())
-                n_rare.append(times.astype("<u4").tobytes())
-            columns = [sizes, np.add.reduceat(known.astype(np.int64), starts), base, own.score(distinct, back, starts), rare, n_rare]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), *map(pa.array, columns, kinds_of)], names)
-
-    kinds_of = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
-    names = ["key", "held_out", "n_tokens", "head_known", "head_score", "score", "rare", "n_rare"]
+    total, mu = model.tokens + model.distinct + 1, model.mu
+    word_values, pair_values = model.filter.word_values, model.filter.pair_values
     source = docs.select(F.col(f"`{key}`").alias("key"), (~learn).alias("held_out"), as_bytes(text).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, held_out boolean, n_tokens bigint, head_known bigint, head_score double, score double, rare binary, n_rare binary"
-    scored = source.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = store(scored, "scores")  # stored once, so a row keeps its number
-    rare = store(_rare_sums(scored, counts, model.filter.bucket_bits, total), "rare")
-    return scored.drop("rare", "n_rare").join(rare, "row", "left").select(
-        F.col("key").alias(key),
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"),
-        "score",
+    blocks = store(_blocks(source, kind, HEAD), "blocks")  # stored once, so a block keeps its texts
+    answers = _answers(blocks, counts, model.filter.bucket_bits)
+    both = blocks.withColumn("kind", F.lit("")).unionByName(answers, allowMissingColumns=True)
+
+    def scores(block, levels, exact):
+        sizes = np.frombuffer(block["sizes"], "<i8")
+        kinds, back = _unpack_words(block["kinds"], block["numbers"])
+        starts, _, back_pairs = _block_pairs(kinds, back, sizes)
+        level = {k: np.concatenate([_unpack(x) for x in v]).astype(np.int64) for k, v in levels.items()}
+        known = np.concatenate([_unpack(x) for x in exact]).astype(np.int64)
+        base = np.add.reduceat(np.log10((known + 1.0) / total)[back], starts)
+        n_known = np.add.reduceat((known > 0).astype(np.int64)[back], starts)
+        held = word_values[level["w"]]
+        count, together = held[back], pair_values[level["p"]][back_pairs]
+        single = (count + 1.0) / total
+        before = words_before(count, starts)
+        before[starts] = held[np.searchsorted(kinds, END)]
+        together = np.minimum(together, np.minimum(before, count))
+        score = np.add.reduceat(np.log10((together + mu * single) / (before + mu)), starts)
+        return [block["keys"], block["held_out"], *map(pa.array, (sizes, n_known, base, score))]
+
+    def run(batches):
+        block, levels, exact = None, {"w": [], "p": []}, []
+        for batch in batches:
+            for part in rows_of([batch], 64):
+                kinds = part.column("kind").to_pylist()
+                for i, kind in enumerate(kinds):
+                    if kind == "":
+                        if block:
+                            yield pa.RecordBatch.from_arrays(scores(block, levels, exact), names)
+                        block = {c: part.column(c)[i].as_py() for c in ("sizes", "kinds", "numbers")}
+                        block |= {c: part.column(c)[i].values for c in ("keys", "held_out")}
+                        levels, exact = {"w": [], "p": []}, []
+                        continue
+                    levels[kind].append(part.column("levels")[i].as_py())
+                    if kind == "w":
+                        exact.append(part.column("exact")[i].as_py())
+        if block:
+            yield pa.RecordBatch.from_arrays(scores(block, levels, exact), names)
+
+    names = ["key", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    placed = both.repartition(input_parts(docs), "block").sortWithinPartitions("block", "kind", "bucket")
+    scored = placed.mapInArrow(run, f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return scored.select(
+        F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score"
     )
 
 

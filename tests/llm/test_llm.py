@@ -307,6 +307,45 @@ def test_filter_holds_every_count(docs):
     assert (model.filter.level(strange) > 0).mean() < 0.1
 
 
+def test_filter_leaves_nothing_out(docs):
+    model, counts = lm.fit_model(docs)
+    hasher, sums = lm.WordHasher(), [collections.Counter(), collections.Counter()]
+    for _, text in texts_of(docs):
+        words = lm.words_of(text.encode(), hasher)
+        for n, keys in zip(sums, (words, lm.pairs_of(words))):
+            n.update(keys.tolist())
+    held = 0
+    for n in sums:
+        keys, tops = np.array(list(n), np.uint64), lm.levels_of(np.array(list(n.values())))
+        assert (tops == 1).any() and (model.filter.level(keys) >= tops).all()
+        held += int(tops.sum())
+    assert sum(8 * len(r["bits"]) for r in counts.collect()) >= lm.BITS_PER_LEVEL * held
+
+
+def test_scores_follow_the_quantised_counts(docs):
+    texts = [lm.words_of(t.encode(), lm.WordHasher()) for _, t in texts_of(docs)]
+    words, pairs = collections.Counter(), collections.Counter()
+    for own in texts:
+        words.update(own.tolist())
+        pairs.update(lm.pairs_of(own).tolist())
+
+    def read(counts):
+        levels = {k: int(lm.levels_of(np.array([n]))[0]) for k, n in counts.items()}
+        mean = {l: np.mean([n for k, n in counts.items() if levels[k] == l]) for l in set(levels.values())}
+        return {k: mean[l] for k, l in levels.items()}
+
+    w, p, n, v = read(words), read(pairs), sum(words.values()), len(words)
+    want = []
+    for own in texts:
+        before = [int(lm.END), *own.tolist()[:-1]]
+        together = [min(p[k], w[a], w[b]) for k, a, b in zip(lm.pairs_of(own).tolist(), before, own.tolist())]
+        single = [(w[b] + 1) / (n + v + 1) for b in own.tolist()]
+        want.append(sum(math.log10((c + lm.MU * s) / (w[a] + lm.MU)) for c, s, a in zip(together, single, before)))
+    got = [r["score"] for r in lm.score_texts(docs, F.lit(True)).collect()]
+    near = sum(abs(a - b) < 0.02 * abs(b) for a, b in zip(sorted(got), sorted(want)))
+    assert len(got) == len(want) and near >= 0.9 * len(want)
+
+
 def test_gumbel_top_k(spark, docs, nothing):
     random.seed(7)
     good = [" ".join(random.choices(WORDS[:9], k=80)) for _ in range(150)]
