@@ -16,11 +16,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import as_bytes, input_parts, rows_of, store
+from pairlab.llm.common import as_bytes, fresh, input_parts, rows_of, store
 from pairlab.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -223,17 +223,36 @@ def simhash_components(
     )
 
 
+def _print_of(text: str, words: int) -> Column:
+    @F.arrow_udf("bigint")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(shingle_hashes(t, words)) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    return run(as_bytes(text))
+
+
 def keep_first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """The documents without those that another one of their component, with a smaller key, stands for.
 
-    Rows without a key stay. Of repeated rows of one key one stays.
+    A row is judged by its key and fingerprint, so rows of one key whose texts are no near
+    copies are apart. Rows without a key stay. Of rows equal in key and fingerprint the
+    first by text, then by all columns, stays.
     """
-    groups = store(simhash_components(docs, key, text, words, radius), "groups")
-    gone = store(groups.filter(F.col(key) != F.col("component_id")).select(key).distinct(), "gone")
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
-    repeated = groups.groupBy(key).count().filter((F.col("count") > 1) & F.col(key).isNotNull()).select(key)
-    repeated = store(repeated, "repeated")
+    prints = store(fingerprints(docs, key, text, words), "fingerprints").filter(F.col(key).isNotNull())
+    rows = store(prints.groupBy(key, "fingerprint").agg(F.count(F.lit(1)).alias("n")), "rows")
+    nodes = store(rows.select(F.col("fingerprint").alias("node"), "fingerprint").distinct(), "nodes")
+    roots = store(connected_components(fingerprint_links(nodes, radius)), "roots")
+    classes = store(nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("root")), "classes")
+    first = rows.join(classes, "fingerprint").groupBy("root").agg(F.min(F.struct(key, "fingerprint")).alias("first"))
+    first = store(first.select(F.col(f"first.{key}").alias(key), F.col("first.fingerprint").alias("fingerprint")), "first")
+    gone = store(rows.join(first, [key, "fingerprint"], "left_anti").select(key).distinct(), "gone")
+    repeated = store(rows.groupBy(key).agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select(key), "repeated")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, key, "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(repeated, key, "left_semi").select(*docs.columns).dropDuplicates([key]))
+        return docs.join(gone, key, "left_anti").select(*docs.columns)
+    once = docs.join(gone.unionByName(repeated).distinct(), key, "left_anti").select(*docs.columns)
+    print_, place = fresh(docs, "__print"), fresh(docs, "__place")
+    again = docs.join(repeated, key, "left_semi").select(*docs.columns).withColumn(print_, _print_of(text, words))
+    again = again.join(first.withColumnRenamed("fingerprint", print_), [key, print_], "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    of = Window.partitionBy(key, print_).orderBy(F.col(f"`{text}`"), F.to_json(F.struct(*columns)))
+    return once.unionByName(again.withColumn(place, F.row_number().over(of)).filter(F.col(place) == 1).select(*columns))

@@ -218,6 +218,16 @@ def test_simhash_matches_all_pairs(spark, docs, nothing):
     assert collections.Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == collections.Counter({**{k: 1 for k, r in reach.items() if r == k}, None: 2})
 
 
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    random.seed(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(random.choices(letters, k=6)) for _ in range(80)) for _ in range(30)]
+    rows = [(7, t, i) for i, t in enumerate(texts)] + [(7, texts[0], 50), (3, texts[1], 51), (9, texts[2], 52), (8, texts[0].upper(), 53), (None, texts[4], 54)]
+    for parts in (1, 4):
+        kept = keep_first_of_groups(spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(parts)).collect()
+        assert sorted(r["n"] for r in kept) == [0, *range(2, 30), 51, 54]
+
+
 def test_simhash_of_large_shards(spark, monkeypatch):
     from pairlab.llm import simhash
 
