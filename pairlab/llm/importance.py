@@ -28,6 +28,9 @@ SLOTS = WORD_SLOTS + SHAPES + SHAPES * SHAPES
 MOST_LABELS = 20_000
 #: Occurrences that target and raw texts are both taken to have more of every slot.
 SMOOTHING = 20.0
+#: What a document's log weight may lack by each feature. On the table sf0.01 documents labelled good lack
+#: at most 0.001 a feature and those labelled bad 0.88 or more.
+PER_FEATURE = 0.1
 _RUNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
 _REPEATS = re.compile(rb"(.)\1+")
 
@@ -108,13 +111,14 @@ class ImportanceModel:
     log_ratio: np.ndarray
 
     def log_weights(self, text: str = "text") -> Column:
-        """Column of the log weights of texts; null and empty texts have weight one."""
+        """Struct (log_weight, features) of texts; null and empty texts have weight one and no feature."""
         table = self.log_ratio
 
-        @F.arrow_udf("double")
+        @F.arrow_udf("log_weight double, features bigint")
         def weigh(texts: pa.Array) -> pa.Array:
-            features = load_features()
-            return pa.array([float(table[features(t)].sum()) for t in texts.to_pylist()], pa.float64())
+            found = map(load_features(), texts.to_pylist())
+            sums, sizes = zip(*((float(table[slots].sum()), len(slots)) for slots in found)) if len(texts) else ((), ())
+            return pa.StructArray.from_arrays([pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["log_weight", "features"])
 
         return weigh.asNondeterministic()(as_bytes(text))  # evaluated once, also where it is filtered
 
@@ -161,20 +165,26 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
+def allowed(weight: str) -> Column:
+    """The log weight with the allowance of every feature: it draws long and short documents alike."""
+    return F.col(f"{weight}.log_weight") + F.lit(PER_FEATURE) * F.col(f"{weight}.features")
+
+
 def _weighed(docs: DataFrame, model: ImportanceModel, key: str, text: str, weight: str, gumbel: str) -> DataFrame:
     found = docs.withColumn(weight, model.log_weights(text))
-    return found.withColumn(gumbel, gumbel_key(F.col(weight), F.col(f"`{key}`")))
+    return found.withColumn(gumbel, gumbel_key(allowed(weight), F.col(f"`{key}`")))
 
 
 def _weights(docs: DataFrame, model: ImportanceModel, key: str, text: str) -> DataFrame:
-    """(key, log_weight, gumbel), stored."""
+    """(key, log_weight, allowed, gumbel), stored."""
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return store(_weighed(slim, model, "key", "text", "log_weight", "gumbel").drop("text"), "weights")
+    found = _weighed(slim, model, "key", "text", "weight", "gumbel")
+    return store(found.select("key", F.col("weight.log_weight").alias("log_weight"), allowed("weight").alias("allowed"), "gumbel"), "weights")
 
 
 def _threshold(weights: DataFrame, margin: float) -> float:
-    """The least Gumbel key of the sample: as many documents as have a log weight of ``-margin`` or more."""
-    k = weights.filter(F.col("log_weight") >= -margin).count()
+    """The least Gumbel key of the sample: as many documents as have an allowed log weight of ``-margin`` or more."""
+    k = weights.filter(F.col("allowed") >= -margin).count()
     least = kth_largest(weights, "gumbel", k)
     return float("inf") if least is None else least
 
@@ -182,8 +192,10 @@ def _threshold(weights: DataFrame, margin: float) -> float:
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", margin: float = 15.0) -> DataFrame:
     """(key, log_weight, gumbel, kept), one row per document.
 
-    The sample has as many documents as are not ``exp(margin)`` times likelier as raw
-    text than as target; Gumbel top-k draws it. Texts without words have log weight 0.
+    The sample has as many documents as are not ``exp(margin + PER_FEATURE * features)``
+    times likelier as raw text than as target, so that length does not decide; Gumbel
+    top-k draws it by the log weights with that allowance. Texts without words have log
+    weight 0.
     Runs jobs when called.
     """
     weights = _weights(docs, fit_importance(docs, labels, key, text), key, text)

@@ -370,6 +370,22 @@ def test_gumbel_top_k(spark, docs, nothing):
     assert keep_sampled(docs, labels.limit(0)).count() == docs.count()  # nothing to compare with
 
 
+def test_length_does_not_decide(spark):
+    random.seed(13)
+    say = {"en": "the house and that thing with other ways".split(), "de": "der die und nicht klein zwischen haus weg".split()}
+    clean = lambda l, n: " ".join(random.choices(say[l], k=n))
+    rows = [(i, clean(("en", "de")[i % 2], 100)) for i in range(400)]
+    rows += [(1000 + i, clean(("en", "de")[i % 2], n)) for i, n in enumerate((300, 300, 3000, 3000, 20_000, 20_000))]
+    rows += [(2000 + i, " ".join("##%d@@" % random.randrange(99) for _ in range(20))) for i in range(40)]
+    labels = [(i, 1) for i in range(400) if i % 2 == 0 or i % 20 < 18]  # German is covered a little less
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    found = {r["doc_id"]: (r["log_weight"], r["kept"]) for r in resample(table, labels).collect()}
+    assert found[1005][0] < -15  # the plain sum would lose the long German document
+    assert all(kept == (i < 2000) for i, (_, kept) in found.items())
+    assert {r["doc_id"] for r in keep_sampled(table, labels).collect()} == {i for i, _ in rows if i < 2000}
+
+
 def test_kth_largest(spark):
     random.seed(3)
     values = [random.choice([0.0, -1.5, random.gauss(0, 1e6), random.random()]) for _ in range(500)]
