@@ -100,4 +100,50 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept
 FROM judged AS j LEFT JOIN beyond AS x ON j.doc_id = x.doc_id"""
 
-ORACLES = {"op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}
+_FIELDS = " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    for c in ("doc_id", "source", "lang", "{n}", "text")
+)
+_CRC = f"""xor(4294967295, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)),
+    lambda c, x: xor(c >> 8, {crc_table()}[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)))"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels of all trees, and the siblings of every leaf's path with their sides."""
+    return f"""
+{name}(tree, lvl, idx, n, d) AS (
+    SELECT tree, 0, idx, n, d FROM {leaves}
+    UNION ALL
+    SELECT tree, lvl + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(d, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, lvl, idx // 2),
+{name}_path AS (
+    SELECT l.tree, l.idx, a.lvl, (l.idx >> a.lvl) & 1 AS slot, coalesce(s.d, '') AS sib
+    FROM {leaves} AS l JOIN {name} AS a ON a.tree = l.tree AND a.idx = l.idx >> a.lvl AND a.n > 1
+    LEFT JOIN {name} AS s ON s.tree = a.tree AND s.lvl = a.lvl AND s.idx = xor(a.idx, 1))"""
+
+
+MERKLE = f"""
+WITH RECURSIVE h AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIELDS.format(n="n_chars")}) AS leaf,
+        CASE WHEN {_CRC} % 7 = 0 THEN sha256({_FIELDS.format(n="(n_chars + 1)")}) END AS changed FROM documents),
+p AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n, leaf AS d FROM h),
+{_tree("low", "p")},
+tops AS (
+    SELECT 1 AS tree, tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, d FROM low WHERE n = 1),
+{_tree("high", "tops")},
+steps AS (
+    SELECT tree, idx, lvl, slot, sib FROM low_path
+    UNION ALL SELECT p.tree, p.idx, 100 + h.lvl, h.slot, h.sib FROM p JOIN tops AS t ON t.lang = p.tree JOIN high_path AS h ON h.idx = t.idx),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree, idx ORDER BY lvl) AS k FROM steps),
+proofs AS (SELECT tree, idx, string_agg(sib, '' ORDER BY k) AS sibs FROM numbered GROUP BY tree, idx),
+fold(tree, idx, k, d) AS (
+    SELECT tree, idx, CAST(0 AS BIGINT), coalesce(changed, leaf) FROM p
+    UNION ALL
+    SELECT f.tree, f.idx, f.k + 1, sha256(CASE WHEN s.slot = 1 THEN s.sib || f.d ELSE f.d || s.sib END)
+    FROM fold AS f JOIN numbered AS s ON s.tree = f.tree AND s.idx = f.idx AND s.k = f.k + 1),
+ends AS (SELECT tree, idx, arg_max(d, k) AS folded_root FROM fold GROUP BY tree, idx)
+SELECT p.doc_id, p.leaf, t.d AS subroot, r.d AS root, sha256(coalesce(sibs, '')) AS proof_sha256, folded_root, folded_root = r.d AS verified
+FROM p JOIN tops AS t ON t.lang = p.tree JOIN (SELECT d FROM high WHERE n = 1) AS r ON true
+JOIN ends AS e ON e.tree = p.tree AND e.idx = p.idx LEFT JOIN proofs AS q ON q.tree = p.tree AND q.idx = p.idx"""
+
+ORACLES = {"op12_merkle": MERKLE, "op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}

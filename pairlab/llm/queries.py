@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.llm.bpe import bpe_decode, bpe_encode
-from pairlab.llm.common import read_table, store
+from pairlab.llm.common import int_crc, read_table, store
 from pairlab.llm.importance import resample
 from pairlab.llm.langid import identify_languages
 from pairlab.llm.lm import not_held_out, score_texts
+from pairlab.llm.merkle import as_hex, digest, encode_fields, fold_path, merkle_manifest, proof_digest
 from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.oracles import ORACLES as SQL
 from pairlab.llm.packing import pack_documents
@@ -108,3 +109,17 @@ def op9_token_counts(spark, sf_dir):
     ledger.commit("end-id", revisions(kept.withColumn("revised", F.col("n_tokens") + 1), "n_tokens", "revised"))
     ledger.commit("copies", deletes(copies))  # a batch that comes twice counts once
     return ledger.totals(["insert", "copies", "end-id"])
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    """Every seventh document (by its key's CRC) is folded from a leaf with one added to ``n_chars``."""
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    added = digest(encode_fields(columns, {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}))
+    changed = F.when(int_crc(F.col("doc_id")) % 7 == 0, added)
+    manifest = merkle_manifest(read_table(spark, sf_dir, "documents"), columns, keep={"changed": changed})
+    folded = manifest.withColumn("folded_root", fold_path(F.coalesce(as_hex(F.col("changed")), "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
