@@ -146,4 +146,30 @@ SELECT p.doc_id, p.leaf, t.d AS subroot, r.d AS root, sha256(coalesce(sibs, ''))
 FROM p JOIN tops AS t ON t.lang = p.tree JOIN (SELECT d FROM high WHERE n = 1) AS r ON true
 JOIN ends AS e ON e.tree = p.tree AND e.idx = p.idx LEFT JOIN proofs AS q ON q.tree = p.tree AND q.idx = p.idx"""
 
-ORACLES = {"op12_merkle": MERKLE, "op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}
+PHRASES = """
+WITH pieces AS (
+    SELECT lang, unnest(regexp_split_to_array(s, '[.,;:!?\\x0A-\\x0D]')) AS p
+    FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') AS ws FROM pieces),
+f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(ws) AS x FROM w) GROUP BY ALL),
+f2 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, count(*) AS f FROM w, unnest(range(1, len(ws))) AS u(i) GROUP BY ALL),
+f3 AS (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z, count(*) AS f FROM w, unnest(range(1, len(ws) - 1)) AS u(i) GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+two AS (
+    SELECT p.lang, p.x, p.y, p.f AS a, a.f AS l, b.f AS r, 1000000 * p.f::HUGEINT * p.f // (a.f::HUGEINT * b.f) AS score
+    FROM f2 AS p JOIN f1 AS a ON a.lang = p.lang AND a.x = p.x JOIN f1 AS b ON b.lang = p.lang AND b.x = p.y WHERE p.f >= 10),
+three AS (
+    SELECT t.*, a.f AS l1, yz.f AS r1, xy.f AS l2, c.f AS r2,
+        1000000 * t.f::HUGEINT * t.f // (a.f::HUGEINT * yz.f) AS s1, 1000000 * t.f::HUGEINT * t.f // (xy.f::HUGEINT * c.f) AS s2
+    FROM f3 AS t JOIN f1 AS a ON a.lang = t.lang AND a.x = t.x JOIN f1 AS c ON c.lang = t.lang AND c.x = t.z
+    JOIN f2 AS xy ON xy.lang = t.lang AND xy.x = t.x AND xy.y = t.y JOIN f2 AS yz ON yz.lang = t.lang AND yz.x = t.y AND yz.y = t.z),
+touch AS (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three),
+alive AS (
+    SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM touch AS t WHERE t.lang = two.lang AND t.x = two.x AND t.y = two.y AND 100 * t.f >= 50 * two.a)),
+whole AS (
+    SELECT lang, x || ' ' || y AS phrase, a, l, r, score FROM alive
+    UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM three)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM whole JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES = {"op13_phrases": PHRASES, "op12_merkle": MERKLE, "op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}

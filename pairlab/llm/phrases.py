@@ -17,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.llm.common import WordHasher, as_bytes, rows_of, store
-from pairlab.operators.ranking import top_per_key
+from pairlab.llm.common import Memo, as_bytes, rows_of, store
 
 #: Scores are parts per million.
 SCALE = 1_000_000
-#: Tokens counted together in one task, bytes of a text taken at once, and slots of the frontier's table.
-CHUNK, SEGMENT, SLOTS = 1 << 20, 1 << 20, 1 << 22
+#: Tokens counted together in one task, bytes of a text taken at once, hashes remembered, and slots of the frontier's table.
+CHUNK, SEGMENT, MEMO, SLOTS = 1 << 20, 1 << 20, 200_000, 1 << 22
 #: The first wave opens this many times the wanted number of pairs, and each later wave so many times more.
 FIRST_WAVE, WIDER = 2, 8
 #: What a pair may be: frequent, leading a triple, trailing one, or in question itself.
@@ -49,6 +49,10 @@ def _segments(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
+def _hashed(memo: Memo, tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+
+
 class _Buffer:
     """Hashed words of one language, counted when enough have come."""
 
@@ -109,8 +113,8 @@ def count_words_and_pairs(docs: DataFrame, text: str = "text", lang: str = "lang
     """(lang, w1, w2, word, n): counts of words (``w2`` null) and of pairs (``word`` null); words by their 64-bit hashes."""
 
     def run(batches):
-        hasher = WordHasher()
-        mark = np.uint64(hasher.memo[_MARK])
+        memo = Memo(xxhash.xxh64_intdigest, MEMO)
+        mark = np.uint64(memo[_MARK])
         buffers: dict[str, _Buffer] = {}
         words: dict[str, Counter] = {}
         held = 0
@@ -120,12 +124,9 @@ def count_words_and_pairs(docs: DataFrame, text: str = "text", lang: str = "lang
                 count = words.pop(name, Counter())
                 count.pop(_MARK, None)
                 if count:
-                    hashes = np.fromiter(map(hasher.memo.__getitem__, count), np.uint64, len(count))
-                    n = len(count)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array(hashes.view(np.int64)), pa.nulls(n, pa.int64()), pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())],
-                        names,
-                    )
+                    n, hashes = len(count), _hashed(memo, list(count)).view(np.int64)
+                    own = [pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(hashes), pa.nulls(n, pa.int64()), *own], names)
                 pairs, found = _count(_grams(*buffer.take(2), 2, mark))
                 n = len(pairs)
                 if n:
@@ -139,7 +140,7 @@ def count_words_and_pairs(docs: DataFrame, text: str = "text", lang: str = "lang
                 buffer = buffers.setdefault(name, _Buffer())
                 for tokens in _segments(text_.as_py()):
                     words.setdefault(name, Counter()).update(tokens)
-                    buffer.parts.append(hasher.hash_all(tokens))
+                    buffer.parts.append(_hashed(memo, tokens))
                     held += len(tokens)
                     if held >= CHUNK:
                         yield from flush()
@@ -152,28 +153,25 @@ def count_words_and_pairs(docs: DataFrame, text: str = "text", lang: str = "lang
     return partial.groupBy("lang", "w1", "w2", "word").agg(F.sum("n").alias("n"))
 
 
-def frontier_table(pairs: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """A byte for each slot with the roles of all pairs that fall there, and the languages that have any.
+def frontier_table(pairs: DataFrame) -> np.ndarray:
+    """A byte for each slot with the roles of all pairs that fall there.
 
     The table has ``SLOTS`` bytes at every size. A pair that shares a slot seems to have
-    roles that it lacks; the join that follows knows better.
+    roles that it lacks; then triples are counted that nobody asked for, and rightly so.
     """
-    roles = pairs.filter(F.col("role") > 0).select("lang", _slot("w1", "w2").cast("int").alias("slot"), "role")
     table = np.zeros(SLOTS, np.uint8)
-    rows = roles.groupBy("slot").agg(F.bit_or("role").cast("byte").alias("role")).toPandas()
-    table[rows["slot"].to_numpy()] = rows["role"].to_numpy()
-    return table, [r[0] for r in pairs.select("lang").distinct().collect()]
+    roles = pairs.groupBy(_slot("w1", "w2").cast("int").alias("slot")).agg(F.bit_or("role").cast("byte").alias("role")).toPandas()
+    table[roles["slot"].to_numpy()] = roles["role"].to_numpy()
+    return table
 
 
-def count_triples(docs: DataFrame, pairs: DataFrame, least: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3, n): triples that the roles of their pairs (lang, w1, w2, role) open and that occur often enough."""
-    spark = docs.sparkSession
-    table, open_langs = frontier_table(pairs)
-    shared = spark.sparkContext.broadcast(table)
+def count_triples(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """(lang, w1, w2, w3, n): triples of (text, lang) that the roles of pairs (w1, w2, role) open and that occur often enough."""
+    shared = texts.sparkSession.sparkContext.broadcast(frontier_table(pairs))
 
     def run(batches):
-        hasher = WordHasher()
-        mark = np.uint64(hasher.memo[_MARK])
+        memo = Memo(xxhash.xxh64_intdigest, MEMO)
+        mark = np.uint64(memo[_MARK])
         buffers: dict[str, _Buffer] = {}
         held = 0
 
@@ -199,7 +197,7 @@ def count_triples(docs: DataFrame, pairs: DataFrame, least: int, text: str = "te
             for text_, name in zip(batch.column(0), batch.column(1).to_pylist()):
                 buffer = buffers.setdefault(name, _Buffer())
                 for tokens in _segments(text_.as_py()):
-                    buffer.parts.append(hasher.hash_all(tokens))
+                    buffer.parts.append(_hashed(memo, tokens))
                     held += len(tokens)
                     if held >= CHUNK:
                         yield from flush()
@@ -208,8 +206,7 @@ def count_triples(docs: DataFrame, pairs: DataFrame, least: int, text: str = "te
         yield from flush()
 
     names = ["lang", "w1", "w2", "w3", "n"]
-    rows = _texts(docs, text, lang).filter(F.col("lang").isin(open_langs))
-    partial = rows.mapInArrow(run, "lang string, w1 bigint, w2 bigint, w3 bigint, n bigint")
+    partial = texts.mapInArrow(run, "lang string, w1 bigint, w2 bigint, w3 bigint, n bigint")
     return partial.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -239,13 +236,13 @@ def score_pairs(grams: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
 def _score_triples(triples: DataFrame, pairs: DataFrame) -> DataFrame:
     """Triples with the counts of their pairs and words, the lower-scoring cut first (ties: the first cut)."""
-    lead = pairs.select("lang", "w1", "w2", F.col("a").alias("a12"), "f1", F.col("role").alias("r12"))
-    trail = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("a23"), F.col("f2").alias("f3"), F.col("role").alias("r23"))
+    lead = pairs.select("lang", "w1", "w2", F.col("a").alias("a12"), "f1")
+    trail = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("a23"), F.col("f2").alias("f3"))
     known = triples.withColumnRenamed("n", "a").join(lead, ["lang", "w1", "w2"]).join(trail, ["lang", "w2", "w3"])
     cut1, cut2 = _parts_of(F.col("a"), F.col("f1"), F.col("a23")), _parts_of(F.col("a"), F.col("a12"), F.col("f3"))
     first = cut1 <= cut2
     return known.select(
-        "lang", "w1", "w2", "w3", "a", "a12", "a23", "r12", "r23",
+        "lang", "w1", "w2", "w3", "a", "a12", "a23",
         F.when(first, F.col("f1")).otherwise(F.col("a12")).alias("l"),
         F.when(first, F.col("a23")).otherwise(F.col("f3")).alias("r"),
         F.when(first, cut1).otherwise(cut2).alias("score"),
@@ -271,11 +268,10 @@ def _nth(df: DataFrame, n: int, order: list[Column], columns: list[str]) -> Data
     return ranked.filter(F.col("_rn") == n).select("lang", *columns)
 
 
-def _wave(docs: DataFrame, pairs: DataFrame, levels: DataFrame, least: int, share: int, text: str, lang: str) -> DataFrame:
+def _wave(texts: DataFrame, pairs: DataFrame, levels: DataFrame, least: int, share: int) -> DataFrame:
     """All surviving phrases of the open languages that score their level or more."""
     asked = _roles(pairs, levels)
-    triples = count_triples(docs, asked, least, text, lang)
-    scored = store(_score_triples(triples, asked), "triples")
+    scored = store(_score_triples(count_triples(texts, asked, least), asked), "triples")
     touch = scored.select("lang", "w1", "w2", F.col("a").alias("n"), F.col("a12").alias("own")).union(scored.select("lang", "w2", "w3", "a", "a23"))
     heavy = F.col("n").cast("decimal(19,0)") * 100 >= F.col("own").cast("decimal(19,0)") * share
     covered = touch.filter(heavy).select("lang", "w1", "w2").distinct()
@@ -307,11 +303,11 @@ def mine_phrases(
     pairs = store(scored_pairs, "pairs")
     totals = store(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     order = [F.desc("score"), F.desc("a"), F.col("w1"), F.col("w2")]
-    open_, opened, results = totals.select("lang"), FIRST_WAVE * best, []
+    open_, opened, results, texts = totals.select("lang"), FIRST_WAVE * best, [], _texts(docs, text, lang)
     while True:
         at = _nth(pairs.join(open_, "lang"), opened, order, ["score"]).withColumnRenamed("score", "t")
         levels = store(open_.join(at, "lang", "left").select("lang", F.coalesce("t", F.lit(0)).alias("t")), "levels")
-        found = store(_wave(docs, pairs, levels, least, share, text, lang), "survivors")
+        found = store(_wave(texts, pairs, levels, least, share), "survivors")
         counts = found.groupBy("lang").agg(F.count(F.lit(1)).alias("found"))
         state = store(levels.join(counts, "lang", "left"), "state")
         settled = (F.coalesce("found", F.lit(0)) >= best) | (F.col("t") <= 0)
@@ -319,6 +315,7 @@ def mine_phrases(
         open_, opened = state.filter(~settled).select("lang"), opened * WIDER
         if open_.isEmpty():
             break
+        texts = _texts(docs, text, lang).join(open_, "lang", "left_semi").select("text", "lang")
     whole = results[0]
     for more in results[1:]:
         whole = whole.unionByName(more)
@@ -332,6 +329,5 @@ def mine_phrases(
         near = near.join(name, ["lang", f"w{i}"], "left")
     named = near.withColumn("phrase", F.concat_ws(" ", "s1", "s2", "s3")).join(totals, "lang")
     last = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    top = top_per_key(named.select("lang", "phrase", "a", "l", "r", "n", "score"), ["lang"], last, best)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*last)).cast("bigint")
-    return top.withColumn("rank", rank).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*last)).cast("bigint"))
+    return ranked.filter(F.col("rank") <= best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -17,6 +17,7 @@ from pairlab.llm.merkle import as_hex, digest, encode_fields, fold_path, merkle_
 from pairlab.llm.metric_join import cosine_components
 from pairlab.llm.oracles import ORACLES as SQL
 from pairlab.llm.packing import pack_documents
+from pairlab.llm.phrases import mine_phrases
 from pairlab.llm.quality_rules import apply_rules
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
 from pairlab.llm.simhash import simhash_components
@@ -123,3 +124,8 @@ def op12_merkle(spark, sf_dir):
         "doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
