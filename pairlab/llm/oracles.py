@@ -172,4 +172,14 @@ whole AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM whole JOIN n USING (lang) QUALIFY rank <= 2000"""
 
-ORACLES = {"op13_phrases": PHRASES, "op12_merkle": MERKLE, "op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}
+TOP_PRODUCTS = """
+WITH v AS (
+    SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 10"""
+
+ORACLES = {"op11_topk": TOP_PRODUCTS, "op13_phrases": PHRASES, "op12_merkle": MERKLE, "op3_metric_join": METRIC_JOIN, "op4_sharding": SHARDING, "op6_quality_rules": QUALITY_RULES}

@@ -15,6 +15,7 @@ from pairlab.llm.langid import identify_languages
 from pairlab.llm.lm import not_held_out, score_texts
 from pairlab.llm.merkle import as_hex, digest, encode_fields, fold_path, merkle_manifest, proof_digest
 from pairlab.llm.metric_join import cosine_components
+from pairlab.llm.mtree import top_inner_products
 from pairlab.llm.oracles import ORACLES as SQL
 from pairlab.llm.packing import pack_documents
 from pairlab.llm.phrases import mine_phrases
@@ -129,3 +130,8 @@ def op12_merkle(spark, sf_dir):
 @query
 def op13_phrases(spark, sf_dir):
     return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_topk(spark, sf_dir):
+    return top_inner_products(read_table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024.0)

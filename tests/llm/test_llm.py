@@ -444,7 +444,7 @@ def test_queries_and_pipeline(spark, tmp_path):
     import corpus_pipeline
     from pairlab.llm.queries import QUERIES
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     where = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{where}/documents.parquet")
     one = {r["doc_id"]: r for r in QUERIES["op1_bpe"](spark, where).collect()}
