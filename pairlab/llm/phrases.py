@@ -26,7 +26,7 @@ from pairlab.llm.common import Memo, as_bytes, rows_of, store
 #: Scores are parts per million.
 SCALE = 1_000_000
 #: Tokens counted together in one task, bytes of a text taken at once, hashes remembered, and slots of the frontier's table.
-CHUNK, SEGMENT, MEMO, SLOTS = 1 << 20, 1 << 20, 200_000, 1 << 22
+CHUNK, SEGMENT, MEMO, SLOTS = 1 << 19, 1 << 20, 100_000, 1 << 22
 #: The first wave opens this many times the wanted number of pairs, and each later wave so many times more.
 FIRST_WAVE, WIDER = 2, 8
 #: What a pair may be: frequent, leading a triple, trailing one, or in question itself.
@@ -154,14 +154,18 @@ def count_words_and_pairs(docs: DataFrame, text: str = "text", lang: str = "lang
 
 
 def frontier_table(pairs: DataFrame) -> np.ndarray:
-    """A byte for each slot with the roles of all pairs that fall there.
+    """A byte for each slot with the roles of all pairs that fall there; sixteen slots reach the driver as one number.
 
     The table has ``SLOTS`` bytes at every size. A pair that shares a slot seems to have
     roles that it lacks; then triples are counted that nobody asked for, and rightly so.
     """
+    slots = pairs.select(_slot("w1", "w2").alias("slot"), F.col("role").cast("bigint").alias("role"))
+    packed = slots.groupBy((F.shiftright("slot", 4)).cast("int").alias("place"))
+    found = packed.agg(F.expr("bit_or(shiftleft(role, cast(4 * (slot & 15) AS int)))").alias("roles")).toArrow()
     table = np.zeros(SLOTS, np.uint8)
-    roles = pairs.groupBy(_slot("w1", "w2").cast("int").alias("slot")).agg(F.bit_or("role").cast("byte").alias("role")).toPandas()
-    table[roles["slot"].to_numpy()] = roles["role"].to_numpy()
+    places, roles = (found.column(c).to_numpy() for c in ("place", "roles"))
+    for i in range(16):
+        table[places.astype(np.int64) * 16 + i] = roles.view(np.uint64) >> np.uint64(4 * i) & np.uint64(15)
     return table
 
 
