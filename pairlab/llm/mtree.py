@@ -50,13 +50,11 @@ def sortable(score: int) -> str:
     return f"n{9999 - len(digits):04d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
 
 
-def inner_products(rows: np.ndarray, query: np.ndarray) -> list[int]:
-    """Exact products of integer rows with an integer query."""
-    if rows.dtype != object and query.dtype != object:
-        most = np.abs(rows).max(initial=0).astype(float) * np.abs(query).max(initial=0).astype(float) * rows.shape[1]
-        if most < _SAFE:
-            return (rows @ query).tolist()
-    return [sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows]
+def inner_products(rows: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
+    """Exact products of integer rows with an integer query; ``safe`` if their norms say that 64 bits hold them."""
+    if safe and rows.dtype != object and query.dtype != object:
+        return rows @ query
+    return np.array([sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows], object)
 
 
 @dataclass
@@ -165,11 +163,16 @@ class Unit:
         norm = float(flat @ flat)
         slack = SLACK * (self.most + norm**0.5)
         limit += slack
+        safe = norm**0.5 * self.most < _SAFE
         held: list[tuple[int, int]] = []  # (score, -key), the worst first
 
         def visit(places: np.ndarray) -> float:
             nonlocal limit
-            for score, other in zip(inner_products(self.vectors[places], query), self.keys[places].tolist()):
+            scores, others = inner_products(self.vectors[places], query, safe), self.keys[places]
+            if len(held) == k:
+                high = scores >= held[0][0]
+                scores, others = scores[high], others[high]
+            for score, other in zip(scores.tolist(), others.tolist()):
                 if other == key:
                     continue
                 if len(held) < k:
