@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.pairmath import impute_zero
 from pairlab.operators import evaluation
+from pairlab.operators.boosting import BoostSpec
 from pairlab.operators.features import available, regime_close, regime_late
 
 
@@ -38,8 +39,10 @@ class Specialist:
 
 
 # Depths, rates, samplings, leaf sizes, strengths and support limits.
-GENERAL = {"max_depth": 4, "step": 0.05, "iterations": 300, "rows": 0.8, "columns": "0.8", "min_leaf": 1}
-CLOSE = {"max_depth": 3, "step": 0.03, "iterations": 400, "rows": 0.8, "columns": "0.7", "min_leaf": 15}
+GENERAL = {"max_depth": 4, "step": 0.05, "iterations": 300, "rows": 0.8, "columns": "0.8", "min_leaf": 1, "l1": 0.1, "l2": 1.0, "min_hessian": 1.0}
+CLOSE = {"max_depth": 3, "step": 0.03, "iterations": 400, "rows": 0.8, "columns": "0.7", "min_leaf": 15, "l1": 0.2, "l2": 1.5, "min_hessian": 1e-3}
+LEGACY_FIRST = {"max_depth": 4, "step": 0.05, "iterations": 300, "rows": 0.8, "columns": "0.8", "min_leaf": 1, "l2": 1.0, "min_hessian": 1.0}
+LEGACY_SECOND = {"max_depth": 4, "step": 0.05, "iterations": 300, "rows": 0.8, "columns": "0.8", "min_leaf": 20, "l2": 0.0, "min_hessian": 1e-3}
 LATE = {"c": 0.5}
 FOREST = {"trees": 300, "max_depth": 6, "min_leaf": 10}
 CURATED_LOGISTIC = {"c": 1.0}
@@ -63,6 +66,20 @@ def with_iterations(specialists: Sequence[Specialist], iterations: int, trees: i
     return [replace(s, params={**s.params, **small[s.kind]}) for s in specialists]
 
 
+def boost_spec(spec: Specialist, df: DataFrame) -> BoostSpec:
+    """The specialist for ``boosting.fit_boosted``; its regime becomes the column ``is_<regime>``."""
+    p = spec.params
+    return BoostSpec(
+        spec.name, tuple(available(df, spec.features)), int(p["max_depth"]), p["step"], int(p["iterations"]), p["rows"], float(p["columns"]),
+        p.get("l1", 0.0), p.get("l2", 1.0), int(p["min_leaf"]), p.get("min_hessian", 0.0), spec.min_rows,
+        f"is_{spec.regime}" if spec.regime else None,
+    )
+
+
+def with_regimes(df: DataFrame) -> DataFrame:
+    return df.withColumns({"is_close": regime_close(), "is_late": regime_late()})
+
+
 def _regime(name: str | None) -> Column:
     return {None: F.lit(True), "close": regime_close(), "late": regime_late()}[name]
 
@@ -233,7 +250,11 @@ def averaged_folds(
 ) -> DataFrame:
     """Per held-out period: metrics of the plain average of all models, and each model's accuracy."""
     oof = out_of_fold(df, specialists, period, [period, label], label, periods)
-    preds = [f"p_{s.name}" for s in specialists]
+    return average_by_period(oof, [f"p_{s.name}" for s in specialists], period, label)
+
+
+def average_by_period(oof: DataFrame, preds: Sequence[str], period: str, label: str = "winner") -> DataFrame:
+    """Metrics of the plain average of the predictions that are there, and each one's accuracy, by period."""
     present = F.filter(F.array(*preds), lambda p: p.isNotNull())
     total = F.aggregate(present, F.lit(0.0), lambda a, p: a + p)
     averaged = oof.withColumn("p_avg", F.try_divide(total, F.size(present)))
