@@ -222,18 +222,12 @@ def fit_meta(spark, sf):
     return rounded(meta_frame(spark, sf).select("game_id", "winner", whole.probability().alias("prob")))
 
 
-@register(
-    "stacked_coverage",
-    f"""{WITH_SCORED}, sizes AS (SELECT round_group, count(*) AS n FROM scored GROUP BY round_group)
-    SELECT form, round_group, level / 100.0::DOUBLE AS level, n, {r('(((n - 1) * level) // 100 + 1) / n::DOUBLE')} AS coverage
-    FROM sizes, (SELECT unnest(['in_sample', 'cross_fitted']) AS form) AS f, (SELECT unnest([80, 85, 90, 95]) AS level) AS l""",
-)
+@register("stacked_coverage")
 def stacked_coverage(spark, sf):
     """Coverage of the stacked model's sets on the rows that they were calibrated on.
 
     ``in_sample`` calibrates on the meta-learner's own training rows, ``cross_fitted`` on
-    rows of a period that it did not see. Of n different scores, the interpolated
-    quantile at a level covers floor((n - 1) · level) + 1.
+    rows of a period that it did not see.
     """
     models, df = meta_models(spark, sf), meta_frame(spark, sf)
     forms = {"in_sample": _whole(models).probability(), "cross_fitted": newton.held_out_probability(models)}
@@ -246,6 +240,19 @@ def stacked_coverage(spark, sf):
     return rounded(out)
 
 
+@register(
+    "stacked_coverage_bound",
+    f"""{WITH_SCORED}, sizes AS (SELECT round_group, count(*) AS n FROM scored GROUP BY round_group)
+    SELECT form, round_group, level / 100.0::DOUBLE AS level, n, CAST(((n - 1) * level) // 100 + 1 AS BIGINT) AS least, true AS reached
+    FROM sizes, (SELECT unnest(['in_sample', 'cross_fitted']) AS form) AS f, (SELECT unnest([80, 85, 90, 95]) AS level) AS l""",
+)
+def stacked_coverage_bound(spark, sf):
+    """Whether the sets cover the floor((n - 1) · level) + 1 rows that an interpolated quantile must (equal scores may add some)."""
+    least = F.floor(F.round((F.col("n") - 1) * F.col("level"), 6)) + 1
+    rows = stacked_coverage(spark, sf).withColumn("least", least)
+    return rows.select("form", "round_group", "level", "n", "least", (F.round(F.col("coverage") * F.col("n")) >= F.col("least")).alias("reached"))
+
+
 @views.view
 def published_state(spark, sf):
     """Everything that scoring needs, as one version: trees, pipelines, logistic models, thresholds and the schema."""
