@@ -98,8 +98,17 @@ def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
             yield int(bucket[i]), i, j
 
 
-def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
-    """(bucket, words, n_words, pairs, n_pairs, bits): sorted hashes, their counts and the filter's segment, one row per bucket.
+def _tally(*counts: np.ndarray) -> bytes:
+    """[word or pair, level]: how many n-grams and how many occurrences."""
+    kinds = [np.bincount(levels_of(x), minlength=LEVELS) for x in counts]
+    n = [np.bincount(levels_of(x), weights=x, minlength=LEVELS) for x in counts]
+    return np.array([kinds, n]).astype("<i8").tobytes()
+
+
+def count_ngrams(docs: DataFrame, bits: int, least_pair: int, with_pairs: bool = True) -> DataFrame:
+    """(bucket, words, n_words, pairs, n_pairs, bits, tally): sorted hashes, their counts, the filter's segment and its level sums, one row per bucket.
+
+    Scoring needs no pairs beside the filter: without ``with_pairs`` they stay empty.
 
     ``docs`` holds text as bytes. Tasks count a block of words at a time and hand on the
     distinct ones, so a frequent word travels once per block. Pairs seen fewer than
@@ -131,7 +140,7 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
             yield from out()
 
     def merge(batches):
-        names = ["bucket", "words", "n_words", "pairs", "n_pairs", "bits"]
+        names = ["bucket", "words", "n_words", "pairs", "n_pairs", "bits", "tally"]
         bucket, held = None, {"w": ([], []), "p": ([], [])}
 
         def out():
@@ -144,7 +153,8 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
             (w, nw), (p, np_) = sums["w"], sums["p"]
             often = np_ >= least_pair
             p, np_ = p[often], np_[often]
-            blobs = [w.tobytes(), nw.tobytes(), p.tobytes(), np_.tobytes(), segment_of(w, nw, p, np_)]
+            own = [p.tobytes(), np_.tobytes()] if with_pairs else [b"", b""]
+            blobs = [w.tobytes(), nw.tobytes(), *own, segment_of(w, nw, p, np_), _tally(nw, np_)]
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names)
 
         for batch in batches:
@@ -159,7 +169,7 @@ def count_ngrams(docs: DataFrame, bits: int, least_pair: int) -> DataFrame:
 
     blobs = docs.mapInArrow(count, "bucket bigint, kind string, keys binary, counts binary")
     placed = blobs.repartition(max(1, 1 << bits), "bucket").sortWithinPartitions("bucket")
-    return placed.mapInArrow(merge, "bucket bigint, words binary, n_words binary, pairs binary, n_pairs binary, bits binary")
+    return placed.mapInArrow(merge, "bucket bigint, words binary, n_words binary, pairs binary, n_pairs binary, bits binary, tally binary")
 
 
 #: The first bits of a name, all that the filter knows of it: false hits are far more frequent than names alike in them.
@@ -231,27 +241,23 @@ def _level_sums(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            kinds, n = np.zeros((2, LEVELS), np.int64), np.zeros((2, LEVELS), np.int64)
-            for kind, column in enumerate(("n_words", "n_pairs")):
-                for blob in batch.column(column).to_pylist():
-                    x = np.frombuffer(blob, "<i8")
-                    kinds[kind] += np.bincount(levels_of(x), minlength=LEVELS)
-                    n[kind] += np.bincount(levels_of(x), weights=x, minlength=LEVELS).astype(np.int64)
+            tallies = [np.frombuffer(blob, "<i8").reshape(2, 2, LEVELS) for blob in batch.column(0).to_pylist()]
+            kinds, n = sum(tallies, np.zeros((2, 2, LEVELS), np.int64))
             where = np.indices(kinds.shape).reshape(2, -1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (where[0], where[1], kinds.ravel(), n.ravel())], ["kind", "level", "kinds", "n"])
 
-    sums = counts.select("n_words", "n_pairs").mapInArrow(run, "kind bigint, level bigint, kinds bigint, n bigint")
+    sums = counts.select("tally").mapInArrow(run, "kind bigint, level bigint, kinds bigint, n bigint")
     kinds, n = np.zeros((2, LEVELS), np.int64), np.zeros((2, LEVELS), np.int64)
     for row in sums.groupBy("kind", "level").agg(F.sum("kinds").alias("kinds"), F.sum("n").alias("n")).collect():
         kinds[row["kind"], row["level"]], n[row["kind"], row["level"]] = row["kinds"], row["n"]
     return kinds, n
 
 
-def fit_model(docs: DataFrame, text: str = "text", mu: float = MU, least_pair: int = 1) -> tuple[Model, DataFrame]:
+def fit_model(docs: DataFrame, text: str = "text", mu: float = MU, least_pair: int = 1, with_pairs: bool = True) -> tuple[Model, DataFrame]:
     """The model of the documents' whole texts, and the stored counts by bucket. Runs jobs."""
     source = docs.select(as_bytes(text).alias("text"))
     bucket_bits = _power_of_two(2 * input_parts(docs)).bit_length() - 1
-    counts = store(count_ngrams(source, bucket_bits, least_pair), "ngrams")
+    counts = store(count_ngrams(source, bucket_bits, least_pair, with_pairs), "ngrams")
     kinds, n = _level_sums(counts)
     values = np.divide(n, kinds, out=np.zeros(n.shape), where=kinds > 0)
     lossy = LogFrequencyFilter(counts.select("bucket", "bits"), bucket_bits, _filled(values[0]), _filled(values[1]))
@@ -378,7 +384,7 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     each has its row. Without a document to learn from, N and V are 0. Runs jobs when called.
     """
     learn = F.coalesce(trained, F.lit(False))
-    model, counts = fit_model(docs.filter(learn), text, **options)
+    model, counts = fit_model(docs.filter(learn), text, with_pairs=False, **options)
     total, mu = model.tokens + model.distinct + 1, model.mu
     word_values, pair_values = model.filter.word_values, model.filter.pair_values
     source = docs.select(F.col(f"`{key}`").alias("key"), (~learn).alias("held_out"), as_bytes(text).alias("text"))
