@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import Memo, as_bytes, rows_of
+from pairlab.llm.common import ByteMemo, Memo, as_bytes, rows_of
 
 #: The published pre-tokenisation of byte-level vocabularies (fixed value).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,7 +40,7 @@ def byte_letters() -> dict[str, int]:
 class BacktrackingBPE:
     """Encoder and decoder of one byte-level vocabulary file. Ids must follow the order of the merges."""
 
-    def __init__(self, path: str, memo: int = 80_000):
+    def __init__(self, path: str, memo: int = 150_000, memo_bytes: int = 40 << 20):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
@@ -71,8 +72,8 @@ class BacktrackingBPE:
         self.crowded = regex.compile(r" \s|\s ")
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.fits = Memo(lambda pair: self.joins(*pair), memo)
-        self.packed = Memo(self._pack_piece, 2 * memo)
-        self.spaced = Memo(lambda unit: self._unit(" " + unit), memo)
+        self.packed = ByteMemo(self._pack_piece, memo_bytes)
+        self.spaced = ByteMemo(lambda unit: self._unit(" " + unit), memo_bytes)
 
     def joins(self, a: int, b: int) -> bool:
         """Whether the merges leave tokens ``a`` and ``b`` side by side.
@@ -213,6 +214,26 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     return out.withColumnRenamed("key", key)
 
 
+def bpe_round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, text): ids of the whole text, packed, and the text that they decode to.
+
+    The same as ``bpe_encode`` and ``bpe_decode`` in one narrow pass, so that ids travel once.
+    """
+
+    def run(batches):
+        bpe = load_bpe(path)
+        for batch in rows_of(batches):
+            ids = [bpe.encode_packed(t) for t in _texts(batch, "text")]
+            texts = [bpe.decode_packed(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["key", "ids", "text"])
+
+    source = docs.select(docs[f"`{key}`"].alias("key"), as_bytes(text).alias("text"))
+    kind = source.schema["key"].dataType
+    fields = [T.StructField("key", kind), T.StructField("ids", T.BinaryType()), T.StructField("text", T.BinaryType())]
+    out = source.mapInArrow(run, T.StructType(fields))
+    return out.select(F.col("key").alias(key), "ids", F.col("text").cast("string").alias("text"))
+
+
 def bpe_decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, ids, text): the text of packed ids; null ids give the empty text, bytes that are no UTF-8 give U+FFFD."""
 

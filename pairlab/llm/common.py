@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pairlab.session import cut_lineage, read_table
 
-__all__ = ["Memo", "WordHasher", "as_bytes", "fresh", "input_parts", "int_crc", "mix", "read_table", "rows_of", "store"]
+__all__ = ["ByteMemo", "Memo", "WordHasher", "as_bytes", "fresh", "input_parts", "int_crc", "mix", "read_table", "rows_of", "store"]
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -70,6 +70,26 @@ class Memo(dict):
         return value
 
 
+class ByteMemo(Memo):
+    """A memo of texts and their codes that holds at most about twice ``limit`` bytes."""
+
+    #: What a key and a value take beside their own bytes.
+    OVERHEAD = 200
+
+    def __init__(self, compute: Callable, limit: int):
+        super().__init__(compute, limit)
+        self.held = 0
+
+    def __missing__(self, key):
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        value = self.old.pop(key, None)
+        value = self[key] = self.compute(key) if value is None else value
+        self.held += self.OVERHEAD + len(key) + len(value)
+        return value
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One 64-bit hash of two, position by position; the order of the two counts."""
     x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019))

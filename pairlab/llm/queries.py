@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm.bpe import bpe_decode, bpe_encode
+from pairlab.llm.bpe import bpe_round_trip
 from pairlab.llm.common import int_crc, read_table, store
 from pairlab.llm.importance import resample
 from pairlab.llm.langid import identify_languages
@@ -40,7 +40,7 @@ def query(fn: Query) -> Query:
 
 @query
 def op1_bpe(spark, sf_dir):
-    decoded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
+    decoded = bpe_round_trip(read_table(spark, sf_dir, "documents"), BYTE_BPE)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
