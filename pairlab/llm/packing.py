@@ -53,8 +53,9 @@ class WordTokens:
         self.path, self.memo = path, memo
         self.words = self._library()
         self.words.normalizer = normalizers.Sequence([])
-        special = "|".join(regex.escape(t.content) for t in self.words.get_added_tokens_decoder().values())
-        self.unusual = regex.compile(rf"[^{USUAL}]" + (f"|{special}" if special else ""))
+        self.special = [t.content for t in self.words.get_added_tokens_decoder().values() if t.content]
+        usual = regex.compile(rf"[{USUAL}]")
+        self.usual = np.array([usual.match(chr(i)) is not None for i in range(1 << 16)])
         self.splitter = regex.compile(WORDS)
         self.units: dict[str, bytes] = {}
         self.old_units: dict[str, bytes] = {}
@@ -74,6 +75,11 @@ class WordTokens:
         """The library's tokenizer for texts that go to it whole."""
         return self._library()
 
+    def _is_usual(self, text: str) -> bool:
+        """No special token, and only usual characters; those beyond 16 bits are none."""
+        codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+        return bool(self.usual[codes].all()) and not any(s in text for s in self.special)
+
     def _split(self, unit: str) -> list[str]:
         """Words of a unit; letters alone, and letters with one mark behind them, need no pattern."""
         if unit.isalpha():
@@ -101,7 +107,7 @@ class WordTokens:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        usual = [None if self.unusual.search(t) else t.replace("Σ", "σ").lower().split() for t in texts]
+        usual = [t.replace("Σ", "σ").lower().split() if self._is_usual(t) else None for t in texts]
         if len(self.units) >= self.memo:
             self.old_units, self.units = self.units, {}
         self._learn(set().union(*[u for u in usual if u]).difference(self.units))
