@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +50,43 @@ def _code(word: bytes) -> int:
 
 
 class Features:
-    """Feature slots of a text, one for every word, word pair, shape and pair of shapes."""
+    """Feature slots of texts, one for every word, word pair, shape and pair of shapes."""
 
     def __init__(self, limit: int = 100_000):
         self.memo = Memo(_code, limit)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        codes = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
-        if not len(codes):
-            return np.zeros(0, np.int64)
+    def __call__(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words of each text, slots of all words and shapes in two rows, slots of all pairs in two rows).
+
+        A pair stands at its second word; the first word of a text has none (-1).
+        """
+        lists = [text.split() for text in texts]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(sizes.sum())
+        codes = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(lists)), np.uint64, total)
+        follows = np.ones(total, bool)
+        follows[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
         shapes = (codes & np.uint64(0x7F)).astype(np.int64)
-        shapes[1:] |= (codes[1:] == codes[:-1]).astype(np.int64) << 7
+        shapes[1:] |= ((codes[1:] == codes[:-1]) & follows[1:]).astype(np.int64) << 7
         hashes = codes >> np.uint64(8)
-        slots = np.concatenate([hashes % np.uint64(WORD_SLOTS), mix(hashes[:-1], hashes[1:]) % np.uint64(WORD_SLOTS)]).astype(np.int64)
-        pairs = shapes[:-1] * SHAPES + shapes[1:] + (WORD_SLOTS + SHAPES)
-        return np.concatenate([slots, shapes + WORD_SLOTS, pairs])
+        singles = np.stack([(hashes % np.uint64(WORD_SLOTS)).astype(np.int64), shapes + WORD_SLOTS])
+        pairs = np.full((2, total), -1)
+        pairs[0, 1:] = mix(hashes[:-1], hashes[1:]) % np.uint64(WORD_SLOTS)
+        pairs[1, 1:] = shapes[:-1] * SHAPES + shapes[1:] + (WORD_SLOTS + SHAPES)
+        pairs[:, ~follows] = -1
+        return sizes, singles, pairs
+
+
+def portions(texts: Sequence[bytes], most: int = 4 << 20) -> Iterator[Sequence[bytes]]:
+    """The texts in order, in runs of about ``most`` bytes."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= most:
+            yield texts[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield texts[start:]
 
 
 @functools.cache
@@ -78,8 +101,10 @@ def slot_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches):
         features, counts = load_features(), np.zeros(SLOTS, np.int64)
         for batch in rows_of(batches):
-            for data in batch.column("text").to_pylist():
-                np.add.at(counts, features(data), 1)
+            for texts in portions(batch.column("text").to_pylist()):
+                _, singles, pairs = features(texts)
+                counts += np.bincount(singles.ravel(), minlength=SLOTS)
+                counts += np.bincount(pairs[pairs >= 0], minlength=SLOTS)
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], ["slot", "n"])
 
@@ -116,9 +141,14 @@ class ImportanceModel:
 
         @F.arrow_udf("log_weight double, features bigint")
         def weigh(texts: pa.Array) -> pa.Array:
-            found = map(load_features(), texts.to_pylist())
-            sums, sizes = zip(*((float(table[slots].sum()), len(slots)) for slots in found)) if len(texts) else ((), ())
-            return pa.StructArray.from_arrays([pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], ["log_weight", "features"])
+            sums, counts = [np.zeros(0)], [np.zeros(0, np.int64)]
+            for some in portions(texts.to_pylist()):
+                sizes, singles, pairs = load_features()(some)
+                whole = np.append(table[singles].sum(axis=0) + np.where(pairs >= 0, table[pairs], 0.0).sum(axis=0), 0.0)
+                each = np.add.reduceat(whole, np.cumsum(sizes) - sizes) if len(sizes) else whole[:0]
+                sums.append(np.where(sizes > 0, each, 0.0))
+                counts.append(np.maximum(4 * sizes - 2, 0))
+            return pa.StructArray.from_arrays([pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], ["log_weight", "features"])
 
         return weigh.asNondeterministic()(as_bytes(text))  # evaluated once, also where it is filtered
 
