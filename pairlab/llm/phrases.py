@@ -324,14 +324,14 @@ def mine_phrases(
     for more in results[1:]:
         whole = whole.unionByName(more)
     border = _nth(whole, best, [F.desc("score"), F.desc("a")], ["score", "a"])
-    border = border.select("lang", F.col("score").alias("_score"), F.col("a").alias("_a"))
+    border = store(border.select("lang", F.col("score").alias("_score"), F.col("a").alias("_a")), "border")
     near = whole.join(border, "lang", "left").filter(
         F.col("_score").isNull() | (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("a") >= F.col("_a")))
     )
     for i in ("1", "2", "3"):
         name = words.select("lang", F.col("w").alias(f"w{i}"), F.col("word").cast("string").alias(f"s{i}"))
         near = near.join(name, ["lang", f"w{i}"], "left")
-    named = near.withColumn("phrase", F.concat_ws(" ", "s1", "s2", "s3")).join(totals, "lang")
+    named = near.withColumn("phrase", F.concat_ws(" ", "s1", "s2", "s3")).select("lang", "phrase", "a", "l", "r", "score")
     last = [F.desc("score"), F.desc("a"), F.col("phrase")]
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*last)).cast("bigint"))
-    return ranked.filter(F.col("rank") <= best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.filter(F.col("rank") <= best).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
