@@ -46,7 +46,7 @@ class WordTokens:
     classes all Unicode versions agree on, go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 130_000):
+    def __init__(self, path: str, memo: int = 220_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import normalizers
 
