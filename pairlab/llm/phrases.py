@@ -309,7 +309,7 @@ def mine_phrases(
     order = [F.desc("score"), F.desc("a"), F.col("w1"), F.col("w2")]
     open_, opened, results, texts = totals.select("lang"), FIRST_WAVE * best, [], _texts(docs, text, lang)
     while True:
-        at = _nth(pairs.join(open_, "lang"), opened, order, ["score"]).withColumnRenamed("score", "t")
+        at = _nth(pairs, opened, order, ["score"]).withColumnRenamed("score", "t")
         levels = store(open_.join(at, "lang", "left").select("lang", F.coalesce("t", F.lit(0)).alias("t")), "levels")
         found = store(_wave(texts, pairs, levels, least, share), "survivors")
         counts = found.groupBy("lang").agg(F.count(F.lit(1)).alias("found"))
