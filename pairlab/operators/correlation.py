@@ -6,27 +6,69 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions.pairmath import impute_zero
 
-_PARTIAL = "i int, j int, n bigint, si double, sj double, c double, pij double"
-
-
-def _gram_rows(n: int, mean: np.ndarray, moment: np.ndarray) -> pd.DataFrame:
-    i, j = np.triu_indices(len(mean))
-    return pd.DataFrame(
-        {
-            "i": i.astype("int32"),
-            "j": j.astype("int32"),
-            "n": np.full(len(i), n, dtype="int64"),
-            "si": n * mean[i],
-            "sj": n * mean[j],
-            "c": moment[i, j],
-            "pij": n * mean[i] * mean[j],
-        }
-    )
+_PARTIAL = "part int, n bigint, mean binary, moment binary"
+#: At most so many tasks merge the partial matrices of all tasks before the last one merges theirs.
+MERGERS = 64
+#: A sum of squares below this share of the raw one is what rounding leaves of a constant.
+_ROUNDING = 1e-28
+
+
+class _Moments:
+    """Count, means and centred products of the rows seen so far."""
+
+    def __init__(self) -> None:
+        self.n, self.mean, self.moment = 0, None, None
+
+    def add(self, n: int, mean: np.ndarray, moment: np.ndarray) -> None:
+        if self.mean is None:
+            self.n, self.mean, self.moment = n, mean, moment
+            return
+        total = self.n + n
+        shift = mean - self.mean
+        self.moment = self.moment + moment + np.outer(shift, shift) * (self.n * n / total)
+        self.mean = self.mean + shift * (n / total)
+        self.n = total
+
+    def packed(self, part: int) -> pd.DataFrame:
+        """One row: the means, and the upper triangle of the products."""
+        upper = self.moment[np.triu_indices(len(self.mean))]
+        row = {"part": part, "n": self.n, "mean": self.mean.tobytes(), "moment": upper.tobytes()}
+        return pd.DataFrame([row]).astype({"part": "int32", "n": "int64"})
+
+
+def _unpack(mean: bytes, moment: bytes) -> tuple[np.ndarray, np.ndarray]:
+    means = np.frombuffer(mean)
+    square = np.zeros((len(means), len(means)))
+    square[np.triu_indices(len(means))] = np.frombuffer(moment)
+    return means, square + np.triu(square, 1).T
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> tuple[_Moments, int]:
+    seen, part = _Moments(), 0
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            seen.add(row.n, *_unpack(row.mean, row.moment))
+            part = row.part
+    return seen, part
+
+
+def _correlations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen, _ = _merged(batches)
+    if seen.mean is None:
+        return
+    own = np.diag(seen.moment)
+    with np.errstate(all="ignore"):
+        spread = np.where(own > _ROUNDING * (seen.n * seen.mean**2 + own), np.sqrt(own), np.nan)
+        i, j = np.triu_indices(len(own))
+        r = seen.moment[i, j] / (spread[i] * spread[j])
+    values = [None if np.isnan(v) else float(v) for v in r]
+    yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "r": pd.Series(values, dtype="object")})
 
 
 def pearson_matrix(
@@ -34,9 +76,11 @@ def pearson_matrix(
 ) -> DataFrame:
     """(i, j, r) for i ≤ j over feature columns, or over the items of an array column.
 
-    NULL and NaN count as 0; r is NULL where a side is constant. Each task
-    reduces its rows to one centred moment matrix with matrix products and sends
-    p(p+1)/2 rows, however many rows it read.
+    NULL and NaN count as 0; r is NULL where a side is constant. An empty frame gives
+    no rows. Each task reduces its rows to one centred moment matrix with matrix
+    products and sends it as one row; at most ``MERGERS`` tasks merge these, one at a time, and
+    one task merges theirs. Partial matrices are merged in the order of their tasks, so
+    a task that runs again gives the same bits.
     """
     if vector is None:
         packed = F.array(*[impute_zero(F.col(f"`{f}`")) for f in features])
@@ -44,43 +88,27 @@ def pearson_matrix(
         packed = F.transform(vector, lambda v: impute_zero(v))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, mean, moment = 0, None, None
+        seen = _Moments()
         for batch in batches:
             if batch.empty:
                 continue
             x = np.stack(batch["_v"].to_numpy())
-            m, fresh = len(x), x.mean(axis=0)
-            centred = x - fresh
-            block = centred.T @ centred
-            if mean is None:
-                n, mean, moment = m, fresh, block
-                continue
-            shift = fresh - mean
-            moment += block + np.outer(shift, shift) * (n * m / (n + m))
-            mean = mean + shift * (m / (n + m))
-            n += m
-        if mean is not None:
-            yield _gram_rows(n, mean, moment)
-
-    # Any one row, taken off all rows, keeps large means from drowning the moments.
-    values = df.select(packed.alias("_v"))
-    paired = values.select("_v", values.limit(1).scalar().alias("_one"))
-    shifted = paired.select(F.zip_with("_v", "_one", lambda v, one: v - one).alias("_v"))
-    partials = shifted.mapInPandas(partial, _PARTIAL)
-    merged = partials.groupBy("i", "j").agg(
-        (F.sum("c") + F.sum("pij") - F.sum("si") * F.sum("sj") / F.sum("n")).alias("c"),
-        F.sum("pij").alias("_raw"),
-    )
-    diagonal = merged.filter(F.col("i") == F.col("j"))
-    # A constant column leaves only rounding noise on the diagonal.
-    spread = F.when(F.col("c") > F.lit(1e-14) * (F.col("_raw") + F.col("c")), F.sqrt("c")).alias("s")
-    own = diagonal.select(F.col("i").alias("k"), spread)
-    left, right = own.toDF("i", "_si"), own.toDF("j", "_sj")
-    return (
-        merged.join(left, "i")
-        .join(right, "j")
-        .select("i", "j", F.try_divide(F.col("c"), F.col("_si") * F.col("_sj")).alias("r"))
-    )
+            mean = x.mean(axis=0)
+            centred = x - mean
+            seen.add(len(x), mean, centred.T @ centred)
+        if seen.mean is not None:
+            yield seen.packed(TaskContext.get().partitionId())
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, part = _merged(batches)
+        if seen.mean is not None:
+            yield seen.packed(part)
+
+    partials = df.select(packed.alias("_v")).mapInPandas(partial, _PARTIAL)
+    dealt = partials.repartition(F.col("part") % MERGERS).sortWithinPartitions("part")
+    merged = dealt.mapInPandas(merge, _PARTIAL)
+    last = merged.repartition(1).sortWithinPartitions("part")
+    return last.mapInPandas(_correlations, "i int, j int, r double")
 
 
 def correlated_pairs(matrix: DataFrame, threshold: float = 0.90) -> DataFrame:

@@ -181,6 +181,23 @@ def test_pearson_matrix_matches_numpy(spark):
                 assert got[i, j] == pytest.approx(want[i, j], abs=1e-9)
 
 
+def test_pearson_matrix_sends_one_row_a_task(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4)) + np.array([0.0, 1e8, -1e8, 5.0])
+    x[:, 3] = 0.1
+    df = spark.createDataFrame([(list(map(float, v)),) for v in x], "v array<double>").repartition(9)
+    matrix = correlation.pearson_matrix(df, vector="v")
+    got = {(r["i"], r["j"]): r["r"] for r in matrix.collect()}
+    want = np.corrcoef(x[:, :3] - x[0, :3], rowvar=False)
+    for i in range(3):
+        assert got[i, 3] is None
+        for j in range(i, 3):
+            assert got[i, j] == pytest.approx(want[i, j], abs=1e-6)
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Join" not in plan
+    assert correlation.pearson_matrix(df.limit(0), vector="v").collect() == []
+
+
 def brute_dedup(n, corr, ranks, limit):
     dropped = set()
     for i in range(n):
