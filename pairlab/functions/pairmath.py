@@ -45,10 +45,12 @@ def safe_pct_diff(a: Column, b: Column) -> Column:
 
 
 def log_ratio(a: Column, b: Column, floor: float | None = None) -> Column:
+    """ln a − ln b, of values raised to ``floor`` if one is given; NULL where a side is missing."""
     x, y = a.cast("double"), b.cast("double")
-    if floor is not None:
-        x, y = F.greatest(x, F.lit(floor)), F.greatest(y, F.lit(floor))
-    return F.ln(x) - F.ln(y)
+    if floor is None:
+        return F.ln(x) - F.ln(y)
+    raised = F.ln(F.greatest(x, F.lit(floor))) - F.ln(F.greatest(y, F.lit(floor)))
+    return F.when(x.isNotNull() & y.isNotNull(), raised)
 
 
 def diff_bucket(diff: Column) -> Column:

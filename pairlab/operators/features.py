@@ -98,8 +98,8 @@ def with_rounds(df: DataFrame, text: str = "bracket_round") -> DataFrame:
     )
 
 
-def seed_columns(a: Column, b: Column) -> list[Column]:
-    return [*pair_arith(a, b), diff_bucket(a - b).alias("seed_diff_bucket")]
+def seed_columns(a: Column, b: Column, log_floor: float | None = None) -> list[Column]:
+    return [*pair_arith(a, b, log_floor=log_floor), diff_bucket(a - b).alias("seed_diff_bucket")]
 
 
 def build_pair_features(
@@ -109,11 +109,15 @@ def build_pair_features(
     round_col: str = "bracket_round",
     seeds: tuple[str, str] = ("a_seed", "b_seed"),
     denominator: str = "clip",
+    log_floor: float | None = None,
 ) -> DataFrame:
-    """All generated columns of the joined pairs; no shuffle."""
+    """All generated columns of the joined pairs; no shuffle.
+
+    The defaults are the training form; serving uses ``abs_clip`` and a ``log_floor``.
+    """
     return with_rounds(df, round_col).select(
         "*",
-        *seed_columns(F.col(seeds[0]), F.col(seeds[1])),
+        *seed_columns(F.col(seeds[0]), F.col(seeds[1]), log_floor),
         *stat_diffs(df, stats),
         *stat_pctdiffs(df, stats, denominator),
         *variant_gaps(df, stats),
