@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("ingest", "cleaning", "pairing", "serving", "resolving", "selecting", "scoring", "reporting", "knockouts", "learning")
+_MODULES = ("ingest", "cleaning", "pairing", "serving", "resolving", "mapping", "selecting", "scoring", "reporting", "knockouts", "learning")
 
 
 def load_queries():
