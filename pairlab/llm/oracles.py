@@ -64,7 +64,7 @@ _RATIOS = {
     "repeated_words": "n_repeat_words / greatest(n_words, 1)",
 }
 _LONG = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, n_words, '{r.name}' AS rule, {r.low} AS low_side, "
+    f"SELECT doc_id, lang, source, n_words, '{r.name}' AS rule, {r.low} AS low_side, {r.spread} AS spread, "
     f"CAST(ceil(ln(greatest({_RATIOS[r.name]}, {r.least}::DOUBLE)) / ln({GAMMA}::DOUBLE)) AS INTEGER) AS bucket FROM m"
     for r in RULES
 )
@@ -95,7 +95,7 @@ picked AS (
     SELECT o.lang, o.source, o.rule, {_PICK} FROM own AS o JOIN upper_ AS u ON o.lang = u.lang AND o.rule = u.rule JOIN whole AS w ON o.rule = w.rule),
 beyond AS (
     SELECT DISTINCT doc_id FROM b JOIN picked USING (lang, source, rule)
-    WHERE bucket > q2 + 4 * greatest(q2 - q1, 25) OR low_side AND bucket < q2 - 4 * greatest(q3 - q2, 25)),
+    WHERE bucket > q2 + 4 * greatest(q2 - q1, spread) OR low_side AND bucket < q2 - 4 * greatest(q3 - q2, spread)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.doc_id IS NULL AS kept
 FROM judged AS j LEFT JOIN beyond AS x ON j.doc_id = x.doc_id"""

@@ -283,6 +283,29 @@ def test_adaptive_fences_reject_outliers_of_their_group(spark):
     assert all(found[i] == (False, True) for i in range(600))
 
 
+def test_every_fence_decides_beyond_the_base_rules(spark):
+    random.seed(7)
+    word = lambda n: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    plain = lambda n=5, size=100: " ".join(word(n) for _ in range(size))
+    rows = [(i, plain(), "en", "even") for i in range(300)]
+    rows += [(i, plain(3 + i % 9), "en", "wide") for i in range(300, 600)]
+    line = plain(5, 6)
+    odd = {
+        "long": plain(9),
+        "short": plain(2, 120),
+        "symbols": " ".join(word(5) + ("#" if i % 5 == 0 else "") for i in range(100)),
+        "lines": "\n".join("same line\n" + plain(5, 12) for _ in range(8)),
+        "words": " ".join([line] * 6 + [plain(5, 60)]),
+    }
+    rows += [(1000 + i, text, "en", "even") for i, text in enumerate(odd.values())]
+    rows += [(2000, odd["long"], "en", "wide")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in apply_rules(docs).collect()}
+    for i, name in enumerate(odd):
+        assert (found[1000 + i]["base_failed"], found[1000 + i]["kept"]) == (False, False), name
+    assert found[2000]["kept"] and all(found[i]["kept"] for i in range(600))
+
+
 def test_base_scores_and_filter(docs, nothing):
     trained = lm.not_held_out("doc_id")
     learn = collections.Counter()
