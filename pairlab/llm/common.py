@@ -9,10 +9,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pairlab.operators.ranking import assign_ids
 from pairlab.session import cut_lineage, read_table
 
-__all__ = ["ByteMemo", "Memo", "WordHasher", "as_bytes", "fresh", "input_parts", "int_crc", "mix", "read_table", "rows_of", "store"]
+__all__ = ["ByteMemo", "Memo", "WordHasher", "as_bytes", "fresh", "has_integer_key", "input_parts", "int_crc", "mix", "on_integer_keys", "read_table", "rows_of", "store"]
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
@@ -38,6 +40,31 @@ def int_crc(value: Column) -> Column:
     return F.crc32(value.cast("string").cast("binary"))
 
 
+def has_integer_key(df: DataFrame, key: str) -> bool:
+    return isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def on_integer_keys(df: DataFrame, key: str, keyed: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``run`` makes of the frame, for keys of any type that has an order.
+
+    Integer keys go in as they are. Others are numbered in their order, and the numbers
+    in ``key`` and in ``keyed`` (a key that ``run`` names per row) become keys again, so
+    that a smallest number is a smallest key. Null keys stay null.
+    """
+    if has_integer_key(df, key):
+        return run(df)
+    name, number = fresh(df, "__name"), fresh(df, "__number")
+    names = df.select(F.col(f"`{key}`").alias(name)).filter(F.col(name).isNotNull()).distinct()
+    ids = store(assign_ids(store(names, "names"), [F.col(name)], number).withColumn(number, F.col(number).cast("bigint")), "numbers")
+    numbered = df.join(ids, F.col(f"`{key}`") == F.col(name), "left").drop(key, name).withColumnRenamed(number, key)
+    found = run(numbered)
+    for column in (key, keyed):
+        of = ids.select(F.col(number).alias("__id"), F.col(name).alias("__as"))
+        swapped = [F.col("__as").alias(c) if c == column else F.col(f"`{c}`") for c in found.columns]
+        found = found.join(of, F.col(f"`{column}`") == F.col("__id"), "left").select(*swapped)
+    return found
+
+
 def input_parts(df: DataFrame) -> int:
     """Partitions of an input: the measure by which group counts follow the data."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

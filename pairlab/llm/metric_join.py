@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import input_parts, store
+from pairlab.llm.common import input_parts, on_integer_keys, store
 from pairlab.llm.components import connected_components
 
 #: Vectors wanted in a cell, the most pivots (they are broadcast), vectors of a cell held at once,
@@ -290,8 +290,12 @@ def cosine_components(
     counted as often as they occur. Null, zero or non-finite vectors, and vectors of
     different dimensions, link with nothing; so does a row without a key, whose
     component is null and which is kept. Rows that share a key are one node of the
-    components. Runs jobs when called.
+    components. Keys may have any type with an order. Runs jobs when called.
     """
+    return on_integer_keys(vectors, key, "component_id", lambda rows: _components(rows, key, embedding, threshold))
+
+
+def _components(vectors: DataFrame, key: str, embedding: str, threshold: float) -> DataFrame:
     x = F.col("embedding")
     rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("valid", _valid("embedding")).withColumn("c1", F.xxhash64(x)).withColumn("c2", F.xxhash64(F.lit(1), x))

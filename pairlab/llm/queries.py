@@ -22,7 +22,7 @@ from pairlab.llm.phrases import mine_phrases
 from pairlab.llm.quality_rules import apply_rules
 from pairlab.llm.sharding import assign_shards, number_slots, rendezvous
 from pairlab.llm.simhash import simhash_components
-from pairlab.llm.token_rollup import TokenLedger, count_tokens, deletes, inserts, later_copies, revisions
+from pairlab.llm.token_rollup import TokenLedger, count_tokens, deletes, inserts, mark_copies, revisions
 from pairlab.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,8 +104,8 @@ def op9_token_counts(spark, sf_dir):
     """All documents go in, later copies of a text come out, and the counts of the rest are revised to hold the end id."""
     counted = store(count_tokens(read_table(spark, sf_dir, "documents"), WORD_BPE, "word_bpe_49k"), "token-counts")
     ledger = TokenLedger(spark, scratch_path(spark, "ledger"))
-    copies = store(later_copies(counted), "copies")
-    kept = counted.join(copies.select("doc_id"), "doc_id", "left_anti")
+    marked = store(mark_copies(counted), "marked")
+    copies, kept = marked.filter("is_copy"), marked.filter("NOT is_copy")
     ledger.commit("insert", inserts(counted))
     ledger.commit("copies", deletes(copies))
     ledger.commit("end-id", revisions(kept.withColumn("revised", F.col("n_tokens") + 1), "n_tokens", "revised"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import as_bytes, fresh, input_parts, rows_of, store
+from pairlab.llm.common import as_bytes, fresh, has_integer_key, input_parts, on_integer_keys, rows_of, store
 from pairlab.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -61,8 +61,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             column = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("key"), column], ["key", "fingerprint"])
 
-    source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), as_bytes(text).alias("text"))
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("fingerprint", T.LongType())])
+    name = F.col(f"`{key}`").cast("bigint") if has_integer_key(docs, key) else F.col(f"`{key}`")
+    source = docs.select(name.alias("key"), as_bytes(text).alias("text"))
+    schema = T.StructType([source.schema["key"], T.StructField("fingerprint", T.LongType())])
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -205,8 +206,13 @@ def simhash_components(
     ``component_id`` is the smallest key that a document reaches over fingerprints at
     most ``radius`` bits apart, itself included. Equal fingerprints are searched once.
     Documents without words have fingerprint zero and are linked like any other. A row
-    without a key links to nothing and has a null component. Runs jobs when called.
+    without a key links to nothing and has a null component. Keys may have any type with
+    an order. Runs jobs when called.
     """
+    return on_integer_keys(docs, key, "component_id", lambda rows: _components(rows, key, text, words, radius))
+
+
+def _components(docs: DataFrame, key: str, text: str, words: int, radius: int) -> DataFrame:
     prints = store(fingerprints(docs, key, text, words), "fingerprints")
     with_key = prints.filter(F.col(key).isNotNull())
     nodes = store(with_key.groupBy("fingerprint").agg(F.min(key).alias("node")), "nodes")

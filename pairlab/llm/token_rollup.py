@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import as_bytes, rows_of, store
+from pairlab.llm.common import as_bytes, fresh, rows_of, store
 from pairlab.llm.packing import load_words
 
 GROUPS = ["source", "lang", "tokenizer"]
@@ -103,7 +103,20 @@ class TokenLedger:
         return sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
 
+def mark_copies(counted: DataFrame, key: str = "doc_id", mark: str = "is_copy") -> DataFrame:
+    """The rows and whether a row with a smaller key has the same text; ``counted`` must be stored: it is read twice.
+
+    A row is judged by its own key and text, so of a repeated key one row may be a copy and
+    another not. Rows alike in key and text are no copies of each other; a row without a key
+    is none. A very frequent text is combined in every task, and joins one row.
+    """
+    h, first = fresh(counted, "__h"), fresh(counted, "__first")
+    firsts = store(counted.groupBy(F.col("text_hash").alias(h)).agg(F.min(f"`{key}`").alias(first)), "first-texts")
+    later = F.coalesce(F.col(f"`{key}`") > F.col(first), F.lit(False))
+    return counted.join(firsts, F.col("text_hash") == F.col(h), "left").withColumn(mark, later).drop(h, first)
+
+
 def later_copies(counted: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of documents whose text a document with a smaller key has; ``counted`` must be stored. Rows without a key stay."""
-    first = store(counted.groupBy(F.col("text_hash").alias("h")).agg(F.min(key).alias("first")), "first-texts")
-    return counted.join(first, counted["text_hash"] == first["h"]).filter(F.col(key) > F.col("first")).select(*counted.columns)
+    mark = fresh(counted, "__copy")
+    return mark_copies(counted, key, mark).filter(F.col(mark)).drop(mark)
