@@ -8,32 +8,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.operators.ranking import top_per_key
-from pairlab.sources.files import union_diagonal
 
 VARIANTS = ("season", "last3", "last1", "home", "away", "prior")
 
 
-def wide_assemble(frames: Sequence[DataFrame], keys: Sequence[str], spine: str = "all") -> DataFrame:
-    """Merge frames that are unique on ``keys`` into one wide row per key.
+def wide_assemble(
+    frames: Sequence[DataFrame], keys: Sequence[str], spine: str = "all", order: Sequence[str] = ()
+) -> DataFrame:
+    """Merge frames into one wide row per key; ``spine="first"`` keeps only the keys of the first frame.
+
+    A column that several frames carry is taken from the first of them. Of a frame's rows
+    with one key the first counts, whole: by the columns ``order`` that the frame has, then
+    the one with the fewest nulls, then the smallest values (nulls first). Null keys match
+    each other. Columns must have types with an order.
 
-    A column that several frames carry is taken from the first of them. All
-    frames are stacked and grouped once, instead of one join (and shuffle) per
-    frame. ``spine="first"`` keeps only the keys of the first frame.
+    Rows travel compact: the key, the frame's number and one array per type with the
+    frame's own values, so the shuffle does not grow with the columns of the other frames.
+    All frames are stacked and grouped once, instead of one join (and shuffle) per frame;
+    a key keeps one row of each frame in every task, however often it repeats.
     """
+    if spine not in ("all", "first"):
+        raise ValueError(f"unknown spine {spine!r}")
+    quoted = [F.col(f"`{k}`") for k in keys]
     seen: set[str] = set(keys)
+    fresh_columns: list[list[tuple[str, str]]] = []
+    for frame in frames:
+        own = [(f.name, f.dataType.simpleString()) for f in frame.schema.fields if f.name not in seen]
+        seen.update(name for name, _ in own)
+        fresh_columns.append(own)
+    kinds = list(dict.fromkeys(kind for own in fresh_columns for _, kind in own))
+    place_of, values_of, first_of = (_unused(seen, name) for name in ("_frame", "_values", "_first"))
+
     parts = []
-    for place, frame in enumerate(frames):
-        fresh = [c for c in frame.columns if c not in seen]
-        seen.update(fresh)
-        parts.append(frame.select(*keys, *fresh, F.lit(place == 0).alias("_in_first")))
-    stacked = union_diagonal(parts)
-    values = [c for c in stacked.columns if c not in keys and c != "_in_first"]
-    wide = stacked.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in values], F.max("_in_first").alias("_in_first")
-    )
+    for place, (frame, own) in enumerate(zip(frames, fresh_columns)):
+        named = {kind: [F.col(f"`{n}`") for n, k in own if k == kind] for kind in kinds}
+        arrays = [
+            (F.array(*named[kind]) if named[kind] else F.lit(None)).cast(f"array<{kind}>").alias(f"_{i}")
+            for i, kind in enumerate(kinds)
+        ]
+        nulls = sum((F.col(f"`{n}`").isNull().cast("int") for n, _ in own), F.lit(0))
+        parts.append(
+            frame.select(
+                *quoted,
+                F.lit(place).alias(place_of),
+                F.struct(F.lit(0), *[F.col(f"`{c}`") for c in order if c in frame.columns]).alias(first_of),
+                F.struct(nulls.alias("_nulls"), *arrays).alias(values_of),
+            )
+        )
+    # The order may differ by frame, so each frame is cut to its first rows where it has one.
+    stacked = None
+    for part, frame in zip(parts, frames):
+        if _has(frame, order):
+            part = part.groupBy(*quoted, place_of).agg(F.min_by(values_of, F.struct(first_of, values_of)).alias(values_of))
+        part = part.select(*quoted, place_of, values_of)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    firsts = [F.min(F.when(F.col(place_of) == i, F.col(values_of))).alias(f"{values_of}{i}") for i in range(len(frames))]
+    wide = stacked.groupBy(*quoted).agg(*firsts)
     if spine == "first":
-        wide = wide.filter("_in_first")
-    return wide.drop("_in_first")
+        wide = wide.filter(F.col(f"{values_of}0").isNotNull())
+    unfolded = []
+    for i, own in enumerate(fresh_columns):
+        taken = dict.fromkeys(kinds, 0)
+        for name, kind in own:
+            at = F.get(F.col(f"{values_of}{i}._{kinds.index(kind)}"), F.lit(taken[kind]))
+            unfolded.append(at.alias(name))
+            taken[kind] += 1
+    return wide.select(*quoted, *unfolded)
+
+
+def _unused(taken: set[str], name: str) -> str:
+    while any(c.lower().startswith(name) for c in taken):
+        name = f"_{name}"
+    return name
+
+
+def _has(frame: DataFrame, columns: Sequence[str]) -> bool:
+    return any(c in frame.columns for c in columns)
 
 
 def _mean(measure: Column, when: Column | None = None) -> Column:

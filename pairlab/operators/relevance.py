@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.probability import digamma
-from pairlab.operators.quantiles import exact_quantiles
+from pairlab.operators.quantiles import cut_points, exact_quantiles
 from pairlab.session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -37,31 +37,50 @@ def _stored_cuts(long: DataFrame, probs: Sequence[float], by: Sequence[str]) ->
     return cut_lineage(cuts, "cuts")
 
 
-def mcc_scores(
+def quantile_cells(
     long: DataFrame, label: str = "y", probs: Sequence[float] = QUARTILES, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Best absolute MCC of ``x > threshold`` over the thresholds of each feature.
+    """(by…, feature, _bin, label, _c), stored: rows per quantile bin and label, at most bins × labels a feature.
 
-    The thresholds of a feature ride along as one array, so a row is not copied
-    per threshold, and the counts of all of them are one aggregation.
+    The bin is the number of thresholds below x. The thresholds of a feature ride along as
+    one array, so a row is not copied per threshold. MCC and binned information over the
+    same thresholds are both read from this table, which takes three passes over the rows.
     """
     keys = [*by, "feature"]
     cuts = _stored_cuts(long, probs, by)
-    n_cuts = len(probs)
-    hit = [F.col("x") > F.get("_cuts", F.lit(i)) for i in range(n_cuts)]
-    positive = F.col(label) == 1
-    counts = (
-        long.join(cuts, keys)
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.count_if(positive).alias("_pos"),
-            *[F.count_if(h).alias(f"_hit{i}") for i, h in enumerate(hit)],
-            *[F.count_if(h & positive).alias(f"_tp{i}") for i, h in enumerate(hit)],
-        )
+    x = F.col("x")
+    place = F.when(x.isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: x > c)))
+    binned = long.join(cuts, keys).withColumn("_bin", place)
+    return cut_lineage(binned.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).alias("_c")), "cells")
+
+
+def mcc_scores(
+    long: DataFrame,
+    label: str = "y",
+    probs: Sequence[float] = QUARTILES,
+    by: Sequence[str] = (),
+    cells: DataFrame | None = None,
+) -> DataFrame:
+    """Best absolute MCC of ``x > threshold`` over the thresholds of each feature.
+
+    ``cells`` are the ``quantile_cells`` of the same thresholds, where they are known.
+    """
+    keys = [*by, "feature"]
+    cells = quantile_cells(long, label, probs, by) if cells is None else cells
+    positive, c = F.col(label) == 1, F.col("_c")
+    above = [F.col("_bin") > i for i in range(len(probs))]
+
+    def rows(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, c)), F.lit(0))
+
+    counts = cells.groupBy(*keys).agg(
+        F.sum(c).alias("_n"),
+        rows(positive).alias("_pos"),
+        *[rows(h).alias(f"_hit{i}") for i, h in enumerate(above)],
+        *[rows(h & positive).alias(f"_tp{i}") for i, h in enumerate(above)],
     )
     scores = []
-    for i in range(n_cuts):
+    for i in range(len(probs)):
         tp, picked = F.col(f"_tp{i}"), F.col(f"_hit{i}")
         fp, fn = picked - tp, F.col("_pos") - tp
         scores.append(F.abs(mcc_from_counts(tp, fp, fn, F.col("_n") - picked - fn)))
@@ -69,15 +88,13 @@ def mcc_scores(
 
 
 def mi_binned(
-    long: DataFrame, label: str = "y", n_bins: int = 4, by: Sequence[str] = ()
+    long: DataFrame, label: str = "y", n_bins: int = 4, by: Sequence[str] = (), cells: DataFrame | None = None
 ) -> DataFrame:
-    """Mutual information of the quantile bin and the label, in nats."""
+    """Mutual information of the quantile bin and the label, in nats; ``cells`` as for ``mcc_scores``."""
     keys = [*by, "feature"]
-    probs = [i / n_bins for i in range(1, n_bins)]
-    cuts = _stored_cuts(long, probs, by)
-    x = F.col("x")
-    binned = long.join(cuts, keys).withColumn("_bin", F.size(F.filter("_cuts", lambda c: x > c)))
-    cells = binned.groupBy(*keys, "_bin", label).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    if cells is None:
+        cells = quantile_cells(long, label, [i / n_bins for i in range(1, n_bins)], by)
+    cells = cells.withColumn("_c", F.col("_c").cast("double"))
     # At most bins × labels rows per feature from here on.
     per_bin = Window.partitionBy(*keys, "_bin")
     per_label = Window.partitionBy(*keys, label)
@@ -93,29 +110,38 @@ def mi_binned(
     return parts.groupBy(*keys).agg(F.greatest(F.sum("_term"), F.lit(0.0)).alias("mi"))
 
 
+#: Hexadecimal digits of a digest that make a uniform number: 52 bits, exact as a double.
+_UNIFORM_DIGITS = 13
+
+
+def uniform_of(key: Column, feature: Column, draw: int) -> Column:
+    """A number in (0, 1) from the MD5 of "key/feature/draw", the same in any engine."""
+    digest = F.md5(F.concat_ws("/", key.cast("string"), feature, F.lit(str(draw))).cast("binary"))
+    bits = F.conv(F.substring(digest, 1, _UNIFORM_DIGITS), 16, 10).cast("bigint").cast("double")
+    return (bits + 0.5) / F.lit(float(16**_UNIFORM_DIGITS))
+
+
 def _jitter(long: DataFrame, key: str) -> DataFrame:
     """x plus normal noise that depends on the row's key and the feature only."""
     scale = cut_lineage(
         long.groupBy("feature").agg(F.greatest(F.stddev_pop("x"), F.avg(F.abs("x"))).alias("_scale")), "scale"
     )
-
-    def uniform(seed: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.col(key), "feature", F.lit(seed)), 11)
-        return (bits.cast("double") + 0.5) / F.lit(2.0**53)
-
-    normal = F.sqrt(F.lit(-2.0) * F.ln(uniform(1))) * F.cos(F.lit(2 * math.pi) * uniform(2))
+    one, two = (uniform_of(F.col(key), F.col("feature"), draw) for draw in (1, 2))
+    normal = F.sqrt(F.lit(-2.0) * F.ln(one)) * F.cos(F.lit(2 * math.pi) * two)
     return long.join(scale, "feature").withColumn("x", F.col("x") + F.lit(1e-10) * F.col("_scale") * normal)
 
 
 def _bucket(x: Column, cuts: Column) -> Column:
     """How many cuts lie below x: first over blocks of cuts, then inside one block.
 
-    ``cuts`` is an array of blocks of equal length, ascending.
+    ``cuts`` is an array of blocks, ascending, of equal length but for the last.
     """
     full = F.size(F.filter(cuts, lambda block: F.element_at(block, -1) < x))
     block = F.get(cuts, full)
-    inside = F.coalesce(F.size(F.filter(block, lambda c: c < x)), F.lit(0))
-    return full * F.size(cuts[0]) + inside
+    below = F.size(F.filter(block, lambda c: c < x))
+    side, last = F.size(F.get(cuts, F.lit(0))), F.size(F.element_at(cuts, -1))
+    everything = (F.size(cuts) - 1) * side + last
+    return F.when(F.size(cuts) == 0, 0).when(block.isNull(), everything).otherwise(full * side + below)
 
 
 def mi_knn(
@@ -135,9 +161,10 @@ def mi_knn(
 
     Where many values are equal the estimate is low, as m counts all of them.
     ``jitter_by`` names a row key: a repeatable noise of a ten-billionth of the
-    values' scale, drawn from its hash, then breaks the ties.
+    values' scale, drawn from the MD5 of key and feature, then breaks the ties.
 
-    A feature's values are cut into range buckets; a bucket takes the last and
+    A feature's values are cut into range buckets by counting passes over an order
+    index (``quantiles.cut_points``); a bucket takes the last and
     the next k values of its class from its neighbours, and counts below a bound
     are the total of the lower buckets plus a place in its own. So no task sees
     a whole feature. Equal values are one row with a weight throughout.
@@ -152,29 +179,25 @@ def mi_knn(
             F.count(F.lit(1)).alias("w"), F.first("_members").alias("members")
         )
     )
-    if buckets is None:
-        rows = weighted.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-        most = rows.agg(F.max("n")).first()[0] or 0
-        buckets = int(-(-most // rows_per_bucket)) or 1
-    side = max(1, round(buckets**0.5))
-    marks = F.array(*[F.lit(i / (side * side + 1)) for i in range(1, side * side + 1)])
     # The cuts decide which bucket a value belongs to, so they are frozen.
-    cuts = cut_lineage(
-        weighted.groupBy("feature").agg(
-            F.percentile_approx("x", marks, max(10_000, 4 * side * side)).alias("_c")
-        )
-    ).select(
+    most = rows_per_bucket if buckets is None else F.ceil(F.col("n") / buckets)
+    points = cut_points(weighted.select("feature", "x"), ["feature"], "x", most)
+    side = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    block = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / side).cast("int")),
+        lambda i: F.slice("_cuts", i * side + 1, side),
+    )
+    cuts = points.select(
         "feature",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("_c", i * side + 1, F.lit(side))
-        ).alias("_cuts"),
+        F.size("_cuts").alias("_n_cuts"),
+        F.when(F.size("_cuts") > 0, block).otherwise(F.array().cast("array<array<double>>")).alias("_cuts"),
     )
     placed = (
-        weighted.join(cuts, "feature").withColumn("bucket", _bucket(F.col("x"), F.col("_cuts"))).drop("_cuts")
+        weighted.join(cuts, "feature").withColumn("bucket", _bucket(F.col("x"), F.col("_cuts"))).drop("_cuts", "_n_cuts")
     )
 
     every = cuts.select(
-        "feature", F.explode(F.sequence(F.lit(0), F.lit(side * side))).alias("bucket")
+        "feature", F.explode(F.sequence(F.lit(0), F.col("_n_cuts"))).alias("bucket")
     )
     mass = every.join(
         placed.groupBy("feature", "bucket").agg(F.sum("w").alias("_mass")), ["feature", "bucket"], "left"
@@ -267,7 +290,7 @@ def _count_nearer(placed: DataFrame, radius: DataFrame, cuts: DataFrame, base: D
             )
         ).alias("q"),
     ).select("feature", "_y", "x", "w", "members", "q.*")
-    queries = bounds.join(cuts, "feature").withColumn("bucket", _bucket(F.col("at"), F.col("_cuts"))).drop("_cuts")
+    queries = bounds.join(cuts, "feature").withColumn("bucket", _bucket(F.col("at"), F.col("_cuts"))).drop("_cuts", "_n_cuts")
     events = queries.withColumn("_mass", F.lit(0).cast("bigint")).unionByName(
         placed.select(
             "feature", "bucket", F.col("x").alias("at"), F.lit(1).alias("kind"), F.col("w").alias("_mass")

@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 from pairlab.operators.correlation import correlated_pairs, pearson_matrix
 from pairlab.operators.features import to_long
 from pairlab.operators.ranking import combined_rank, prune_bottom
-from pairlab.operators.relevance import mcc_scores, mi_binned, mi_knn
+from pairlab.operators.relevance import mcc_scores, mi_binned, mi_knn, quantile_cells
+from pairlab.session import cut_lineage
 
 
-def relevance(long: DataFrame, label: str = "y", mi: str = "knn") -> DataFrame:
-    """(feature, pos, mi, mcc, mi_rank, mcc_rank, combined_rank)."""
-    information = mi_knn(long, label) if mi == "knn" else mi_binned(long, label)
+def relevance(long: DataFrame, label: str = "y", mi: str = "knn", jitter_by: str | None = None) -> DataFrame:
+    """(feature, pos, mi, mcc, mi_rank, mcc_rank, combined_rank).
+
+    Both binned scores come from one table of cells, which reads ``long`` three times.
+    ``jitter_by`` names a row key that breaks ties in the nearest-neighbour information.
+    """
+    cells = quantile_cells(long, label)
+    information = mi_knn(long, label, jitter_by=jitter_by) if mi == "knn" else mi_binned(long, label, cells=cells)
     positions = long.select("feature", "pos").distinct()
-    scores = positions.join(information, "feature", "left").join(mcc_scores(long, label), "feature", "left")
+    scores = positions.join(information, "feature", "left").join(
+        mcc_scores(long, label, cells=cells), "feature", "left"
+    )
     filled = scores.select(
         "feature", "pos", F.coalesce("mi", F.lit(0.0)).alias("mi"), F.coalesce("mcc", F.lit(0.0)).alias("mcc")
     )
@@ -69,18 +77,20 @@ def select_features(
     drop_share: float = 0.5,
     at_least: int = 10,
     mi: str = "knn",
+    jitter_by: str | None = None,
 ) -> DataFrame:
     """(feature, pos, mi, mcc, combined_rank, place): relevant, little redundant features.
 
     ``df`` is wide with ``features``; or long, with the wide array column given as
-    ``vector=(frame, column)``.
+    ``vector=(frame, column)``. ``jitter_by`` names a row key, one of ``ids`` where ``df``
+    is wide, that breaks ties of values.
     """
     if vector is None:
         long = to_long(df, features, [*ids, label])
         matrix = pearson_matrix(df, features)
     else:
         long, matrix = df, pearson_matrix(vector[0], vector=vector[1])
-    ranked = relevance(long, label, mi)
+    ranked = cut_lineage(relevance(long, label, mi, jitter_by), "ranked")  # read four times
     edges = redundancy_edges(matrix, ranked, threshold).withColumn("run", F.lit(0))
     dropped = dedup_correlated(edges).select(F.col("dropped").alias("pos"))
     survivors = ranked.join(dropped, "pos", "left_anti")

@@ -154,6 +154,22 @@ def mi_knn_documents(spark, sf):
     return rounded(relevance.mi_knn(_documents(spark, sf), buckets=9))
 
 
+def _noisy_sql(source: str, key: str) -> str:
+    """x plus noise from the MD5 of key and feature, as ``mi_knn`` draws it."""
+    draw = lambda n: f"(('0x' || substr(md5({key}::VARCHAR || '/' || feature || '/{n}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+    return f"""noisy AS (SELECT {source}.* EXCLUDE (x), x + 1e-10::DOUBLE * scale * (sqrt(-2.0::DOUBLE * ln({draw(1)})) * cos(2 * pi() * ({draw(2)}))) AS x
+  FROM {source} JOIN (SELECT feature, greatest(stddev_pop(x), avg(abs(x))) AS scale FROM {source} GROUP BY feature) USING (feature))"""
+
+
+@register(
+    "mi_knn_jitter",
+    f"{_DOC_SQL}, {_noisy_sql('long', 'doc_id')}, {_knn_sql('noisy')} SELECT feature, {r('mi')} AS mi FROM mi",
+)
+def mi_knn_jitter(spark, sf):
+    """Features with many equal values, told apart by repeatable noise."""
+    return rounded(relevance.mi_knn(_documents(spark, sf), jitter_by="doc_id"))
+
+
 _RANKS_SQL = """scores AS (SELECT feature, pos, round(mi, 9) AS mi, round(mcc, 9) AS mcc
   FROM mi JOIN mcc USING (feature) JOIN (SELECT DISTINCT feature, pos FROM long) USING (feature)),
 ranked AS (SELECT *, cast(row_number() OVER (ORDER BY mi DESC, pos) - 1 AS INTEGER) AS mi_rank,
@@ -233,11 +249,12 @@ selected AS (SELECT *, cast(row_number() OVER (ORDER BY combined_rank, pos) AS I
   QUALIFY place <= greatest(10, floor((SELECT count(*) FROM survivors) * 0.5)))"""
 
 
-def _selected(spark, sf):
+def _selected(spark, sf, **options):
     return selection.select_features(
         views.embedding_features(spark, sf),
         vector=(_embeddings(spark, sf), "embedding"),
         threshold=THRESHOLD,
+        **options,
     )
 
 
@@ -251,6 +268,18 @@ def select_features(spark, sf):
     return rounded(_selected(spark, sf))
 
 
+@register(
+    "select_features_jitter",
+    _recursive(
+        f"{_LONG_SQL}, {_MCC_SQL}, {_noisy_sql('long', 'vec_id')}, {_knn_sql('noisy')}, {_RANKS_SQL}, {_SELECTED_SQL} "
+        f"SELECT feature, pos, {r('mi')} AS mi, {r('mcc')} AS mcc, combined_rank, place FROM selected"
+    ),
+)
+def select_features_jitter(spark, sf):
+    """Selection with the noise in the information that breaks ties."""
+    return rounded(_selected(spark, sf, jitter_by="vec_id"))
+
+
 @register(
     "key_feature_status",
     _recursive(

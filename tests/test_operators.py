@@ -62,6 +62,27 @@ def test_wide_assembly(spark, rows):
     assert rows(assemble.wide_assemble([a, b], ["k"], spine="first"), "k") == [("k1", 1.0, 2.0)]
 
 
+def test_wide_assembly_of_differing_and_repeated_keys(spark, rows):
+    a = spark.createDataFrame([("k1", 2, 1.0, None), ("k1", 1, 5.0, "x"), ("k2", 1, None, "y"), (None, 1, 7.0, "n")], "k string, turn int, s double, `a b` string")
+    b = spark.createDataFrame([("k1", 9.0, 2), ("k3", 8.0, 3), ("k3", None, 1), (None, 1.0, 4)], "k string, s double, t int")
+    c = spark.createDataFrame([("k3", True)] * 50 + [("k4", None)], "k string, _values boolean")
+    wide = assemble.wide_assemble([a, b, c], ["k"], order=["turn"])
+    assert wide.columns == ["k", "turn", "s", "a b", "t", "_values"]
+    got = {r[0]: tuple(r)[1:] for r in wide.collect()}
+    assert got == {
+        None: (1, 7.0, "n", 4, None),
+        "k1": (1, 5.0, "x", 2, None),
+        "k2": (1, None, "y", None, None),
+        "k3": (None, None, None, 1, True),  # the frame's values are compared once s belongs to the first
+        "k4": (None, None, None, None, None),
+    }
+    unordered = {r[0]: tuple(r)[1:] for r in assemble.wide_assemble([a, b, c], ["k"]).collect()}
+    assert unordered["k1"] == (1, 5.0, "x", 2, None)  # fewest nulls first
+    first = assemble.wide_assemble([a, b, c], ["k"], spine="first", order=["turn"])
+    assert {r[0]: tuple(r)[1:] for r in first.collect()} == {k: v for k, v in got.items() if k in (None, "k1", "k2")}
+    assert assemble.wide_assemble([a.limit(0), b.limit(0)], ["k"]).count() == 0
+
+
 def test_pair_join_with_salts_is_the_same(spark, rows):
     df = spark.createDataFrame([(i, i % 2, 7, 2000) for i in range(20)], "g int, a_id int, b_id int, period int")
     stats = spark.createDataFrame([(0, 2000, 1.0), (1, 2000, 2.0), (7, 2000, 3.0)], "id int, period int, s double")
@@ -98,6 +119,61 @@ def test_exact_quantiles_match_numpy(spark, max_left):
     assert len(got) == len(groups) * len(probs)
 
 
+def test_order_statistics_of_awkward_values(spark):
+    """Values that the scale of the index can't tell apart, infinities and NaN, over several splits."""
+    near = [1e15 + i for i in range(300)]
+    groups = {
+        "near": near,
+        "huge": [1e308 * (1 + i / 400) for i in range(300)],
+        "endless": [float("-inf"), *map(float, range(200)), *[float("inf")] * 3],
+        "tiny": [i * 5e-324 for i in range(200)],
+        "nan": [*map(float, range(50)), float("nan"), float("nan")],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(4)
+    every = [(g, i) for g, vs in groups.items() for i in range(len(vs))]
+    wanted = spark.createDataFrame([x for x in every if x[1] % 7 == 0 or x[1] > 195], "g string, _rank bigint")
+    found = {(r["g"], r["_rank"]): r["_v"] for r in quantiles.order_statistics(df, ["g"], "v", wanted, bins=4, max_left=10).collect()}
+    key = lambda v: (np.isnan(v), v)
+    ranked = {g: sorted(vs, key=key) for g, vs in groups.items()}
+    assert set(found) == {tuple(r) for r in wanted.collect()}
+    assert all(np.array_equal(v, ranked[g][i], equal_nan=True) for (g, i), v in found.items())
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_cut_points_bound_every_range(spark, most):
+    rng = np.random.default_rng(9)
+    groups = {
+        "normal": rng.normal(size=400),
+        "near": 1e15 + np.arange(200.0),
+        "tied": np.r_[np.zeros(100), rng.normal(size=50)],
+        "one": np.array([3.0]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double")
+    cuts = {r["g"]: r["_cuts"] for r in quantiles.cut_points(df, ["g"], "v", most, bins=4).collect()}
+    assert set(cuts) == set(groups)
+    for g, vs in groups.items():
+        assert cuts[g] == sorted(set(cuts[g])) and all(c < vs.max() for c in cuts[g])
+        place = np.searchsorted(cuts[g], vs, side="left")  # how many cuts lie below
+        for part in range(len(cuts[g]) + 1):
+            inside = vs[place == part]
+            assert len(inside) and (len(inside) <= 2 * most or len(inside) - np.unique(inside, return_counts=True)[1].max() <= 2 * most)
+
+
+def test_relevance_reads_its_rows_four_times(spark):
+    rng = np.random.default_rng(6)
+    data = [(f"f{p}", p, float(v), int(v > 0.2)) for p in range(5) for v in rng.normal(size=80)]
+    long = spark.createDataFrame(data, "feature string, pos int, x double, y int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    found = selection.relevance(long.mapInPandas(watch, long.schema), mi="binned").collect()
+    assert len(found) == 5 and seen.value == 4 * len(data)  # index, values at the cuts, cells, positions
+
+
 def brute_mi(x, y, k=5):
     def psi(n):
         return sum(1 / j for j in range(1, int(n))) - 0.5772156649015329
