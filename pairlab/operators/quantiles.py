@@ -34,8 +34,8 @@ def _spread(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.least(F.abs(x), F.lit(LARGEST)))
 
 
-#: Bins of the index per unit of the scale: at most 2 * 64 * 710 for a group, whatever its values.
-PER_UNIT = 64
+#: Bins of the index per unit of the scale: at most 2 * 256 * 710 for a group, whatever its values.
+PER_UNIT = 256
 _NAN_BIN = 1 << 30
 
 
