@@ -56,7 +56,7 @@ def score(pairs, number):
 _FIELD_SQL = f"""WITH {FACTS}, {PROFILES}, field AS (
   SELECT period || '/' || entity_id // 64 AS tournament, (entity_id // 16) % 4 AS region,
     row_number() OVER (PARTITION BY period, entity_id // 16 ORDER BY revenue DESC, entity_id) AS seed, name, price, qty FROM profiles),
-shape AS (SELECT g AS region, g * 8 + i - 1 AS slot, ([1, 8, 5, 4, 6, 3, 7, 2])[i] AS sa, ([16, 9, 12, 13, 11, 14, 10, 15])[i] AS sb
+shape AS (SELECT g AS region, g * 8 + i - 1 AS slot, ({[a for a, _ in knockout.SEED_PAIRS]})[i] AS sa, ({[b for _, b in knockout.SEED_PAIRS]})[i] AS sb
   FROM (SELECT unnest(range(0, 4)) AS g), (SELECT unnest(range(1, 9)) AS i)),
 pairs1 AS (SELECT t.tournament, slot, sa AS a_seed, coalesce(a.name, 'TBD_' || s.region || '_' || sa) AS a_name, a.price AS a_price, a.qty AS a_qty,
     sb AS b_seed, coalesce(b.name, 'TBD_' || s.region || '_' || sb) AS b_name, b.price AS b_price, b.qty AS b_qty
@@ -73,7 +73,7 @@ def _round_sql(k: int) -> str:
         for w in BASE_WEIGHTS
     ]
     rates = " ".join(f"WHEN {d} THEN {v}::DOUBLE" for d, v in RATES.items())
-    n = {1: 9, 2: 3, 3: 3, 4: 2}.get(k, 0)
+    n = knockout.BUDGET.get(k, 0)
     votes = "((q0 < 0.5)::INTEGER + (q1 < 0.5)::INTEGER + (q2 < 0.5)::INTEGER + (q3 < 0.5)::INTEGER)"
     pull = f"(0.35::DOUBLE * (1 - pow(abs(m - 0.5) * 2, 1.2)) + CASE WHEN {votes} >= 2 THEN 0.15::DOUBLE WHEN {votes} = 1 THEN 0.08::DOUBLE ELSE 0 END)"
     tbd = "(a_name LIKE 'TBD%' OR b_name LIKE 'TBD%')"
@@ -131,7 +131,7 @@ def knockout_full(spark, sf):
     return rounded(knockout.play_all(pairs, 6, score, ATTRIBUTES))
 
 
-_BUDGET_SQL = "CASE round_number WHEN 1 THEN 9 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 2 ELSE 0 END"
+_BUDGET_SQL = f"CASE round_number {' '.join(f'WHEN {k} THEN {n}' for k, n in knockout.BUDGET.items())} ELSE 0 END"
 
 
 @register(

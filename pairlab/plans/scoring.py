@@ -18,6 +18,7 @@ _STATS_SQL = (
     f"{r('greatest(p0, p1, p2, p3) - least(p0, p1, p2, p3)', 9)} AS spread, "
     f"{r('greatest(abs(p0 - 0.5), abs(p1 - 0.5), abs(p2 - 0.5), abs(p3 - 0.5))', 9)} AS max_conf"
 )
+# The context columns of the meta-learner, in its order.
 CONTEXT = ("seed_diff", "seed_sum", "seed_pct_diff", "log_seed_ratio", "round_number", "round_group", "seed_diff_bucket")
 
 
