@@ -6,6 +6,11 @@ two bigrams. Sorting each string's bigrams by rarity, the pair must then meet in
 the first ``length + 1 - ceil((2c - 1) * length)`` of them. Joining on those
 prefixes finds every pair at or above the cut-off and seldom joins on a common
 bigram; nothing is capped or sampled.
+
+Where an alphabet is small, many names make every bigram common. Two of ``k + 2``
+segments of a choice also survive ``k`` edits: the pair then meets in the letters of two
+segments, six or more for most names. Names with long parts in common share segments
+instead, so the pairs of both ways are counted, by key, and the lesser way is taken.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from pairlab.operators.ranking import first_per_key
 from pairlab.session import cut_lineage
 
 _SLACK = 1e-9
+#: Pairs for each name at most that are joined without looking for a lesser way.
+FEW = 32
 
 
 def sort_tokens(c: Column) -> Column:
@@ -86,6 +93,84 @@ def _prefixes(grams: DataFrame, frequency: DataFrame, key: str, cutoff: float) -
     )
 
 
+def _by_bigrams(names: DataFrame, choices: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    left, right = _grams(names, "name_key"), _grams(choices, "choice_key")
+    frequency = _counts(right, "channel", "gram")
+    a = _prefixes(left, frequency, "name_key", cutoff)
+    b = _prefixes(right, frequency, "choice_key", cutoff).withColumnRenamed("len", "len_b")
+    return a, b, ["channel", "gram"]
+
+
+def _near(cutoff: float) -> Column:
+    longest = F.greatest("len", "len_b")
+    return F.abs(F.col("len") - F.col("len_b")) <= F.lit((100 - cutoff) / 100) * longest + F.lit(_SLACK)
+
+
+def _segments(sizes: DataFrame, cutoff: float) -> DataFrame:
+    """(len_b, i, j, at_i, at_j, long_i, long_j): any two segments of a choice of that length.
+
+    There are two more segments than edits that a name near such a choice can have.
+    """
+    c = cutoff / 100
+    most = F.floor(F.lit((1 - c) / c) * F.col("len_b") + F.lit(1e-6)).cast("int")
+    start = lambda i: F.floor(i * F.col("len_b") / F.col("m")).cast("int")
+    pairs = (
+        sizes.withColumn("m", most + 2)
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("m") - 2)))
+        .withColumn("j", F.explode(F.sequence(F.col("i") + 1, F.col("m") - 1)))
+    )
+    ends = [start(F.col(x)).alias(f"at_{x}") for x in ("i", "j")]
+    spans = [(start(F.col(x) + 1) - start(F.col(x))).alias(f"long_{x}") for x in ("i", "j")]
+    return pairs.select("len_b", "i", "j", *ends, *spans)
+
+
+def _places(lengths: DataFrame, segments: DataFrame, cutoff: float) -> DataFrame:
+    """Where the segments of a choice, of length ``len_b``, may lie in a name of length ``len``.
+
+    Segments shifted by s and t need |s| edits before the first, |t - s| between them and
+    |d - t| behind them, d the difference in length.
+    """
+    k = F.floor(F.lit(1 - cutoff / 100) * F.greatest("len", "len_b") + F.lit(_SLACK)).cast("int")
+    s, t, d = F.col("s"), F.col("t"), F.col("len") - F.col("len_b")
+    moved = (
+        lengths.filter(_near(cutoff))
+        .join(segments, "len_b")
+        .withColumn("k", k)
+        .withColumn("s", F.explode(F.sequence(-F.col("k"), F.col("k"))))
+        .filter(F.abs(s) + F.abs(d - s) <= F.col("k"))
+        .withColumn("t", F.explode(F.sequence(-F.col("k"), F.col("k"))))
+        .filter(F.abs(s) + F.abs(t - s) + F.abs(d - t) <= F.col("k"))
+        .withColumns({"at_i": F.col("at_i") + s, "at_j": F.col("at_j") + t})
+    )
+    inside = [(F.col(f"at_{x}") >= 0) & (F.col(f"at_{x}") + F.col(f"long_{x}") <= F.col("len")) for x in ("i", "j")]
+    return moved.filter(inside[0] & inside[1]).select("len", *segments.columns)
+
+
+def _by_segments(names: DataFrame, choices: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    def keyed(df: DataFrame, places: DataFrame, key: str) -> DataFrame:
+        spelled = F.array(F.col(key), sort_tokens(F.col(key)))
+        texts = df.select(key, F.length(key).alias("len"), F.posexplode(spelled).alias("channel", "_text"))
+        pieces = [F.substring(F.col("_text"), F.col(f"at_{x}") + 1, F.col(f"long_{x}")) for x in ("i", "j")]
+        met = texts.join(places, "len")
+        return met.select(key, F.xxhash64("channel", "len_b", "i", "j", *pieces).alias("segments"))
+
+    sizes = choices.select(F.length("choice_key").alias("len_b")).distinct()
+    lengths = names.select(F.length("name_key").alias("len")).distinct().crossJoin(sizes)
+    segments = cut_lineage(_segments(sizes, cutoff), "segments")
+    places = cut_lineage(_places(lengths, segments, cutoff), "places")
+    return (
+        keyed(names, places, "name_key"),
+        keyed(choices, segments.withColumn("len", F.col("len_b")), "choice_key"),
+        ["segments"],
+    )
+
+
+def _pairs_met(a: DataFrame, b: DataFrame, keys: list[str]) -> int:
+    """Rows that the join on the keys would have."""
+    one, two = (df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias(n)) for df, n in ((a, "_n"), (b, "_m")))
+    return one.join(two, keys).agg(F.sum(F.col("_n") * F.col("_m"))).head()[0] or 0.0
+
+
 def edit_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> DataFrame:
     """Pairs (name_key, choice_key) that may reach ``cutoff``; every pair that does is among them.
 
@@ -93,13 +178,14 @@ def edit_candidates(names: DataFrame, choices: DataFrame, cutoff: float) -> Data
     """
     if cutoff <= 50:
         raise ValueError("the prefix bound needs a cut-off above 50")
-    left, right = _grams(names, "name_key"), _grams(choices, "choice_key")
-    frequency = _counts(right, "channel", "gram")
-    a = _prefixes(left, frequency, "name_key", cutoff)
-    b = _prefixes(right, frequency, "choice_key", cutoff).withColumnRenamed("len", "len_b")
-    longest = F.greatest("len", "len_b")
-    near = F.abs(F.col("len") - F.col("len_b")) <= F.lit((100 - cutoff) / 100) * longest + F.lit(_SLACK)
-    return a.join(b, ["channel", "gram"]).filter(near).select("name_key", "choice_key").distinct()
+    a, b, keys = _by_segments(names, choices, cutoff)
+    met = _pairs_met(a, b, keys)
+    if met > FEW * names.count():
+        grams = _by_bigrams(names, choices, cutoff)
+        if _pairs_met(*grams) < met:
+            a, b, keys = grams
+    pairs = a.join(b, keys)
+    return (pairs.filter(_near(cutoff)) if "gram" in keys else pairs).select("name_key", "choice_key").distinct()
 
 
 def _word_texts(c: Column) -> Column:
@@ -300,8 +386,8 @@ def best_matches(
     better edit similarity of the names and of their sorted words, in the JVM.
     Both find what comparing every name with every choice would.
     """
-    keys = names.select("name_key").filter(F.trim("name_key") != "").distinct()
-    options = choices.select("choice_key", "entity_id").filter(F.trim("choice_key") != "")
+    keys = cut_lineage(names.select("name_key").filter(F.trim("name_key") != "").distinct(), "names")
+    options = cut_lineage(choices.select("choice_key", "entity_id").filter(F.trim("choice_key") != ""), "choices")
     distinct = options.select("choice_key").distinct()
     if scorer == "edit":
         pairs = edit_candidates(keys, distinct, cutoff)

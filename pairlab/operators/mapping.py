@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.operators.resolve import attach_ids, resolve_cascade
+from pairlab.session import cut_lineage
 
 BATCH = "map_batch"
 _SCHEMA = f"name string, entity_id bigint, method string, score double, {BATCH} string"
@@ -53,7 +54,8 @@ class NameMap:
         if not re.fullmatch(r"[A-Za-z][\w-]*", batch):
             raise ValueError(f"{batch!r} can't name a batch")
         distinct = names.select(F.col(f"`{name}`").alias("name")).filter(F.col("name").isNotNull()).distinct()
-        fresh = distinct.join(self.entries(besides=batch).select("name"), "name", "left_anti")
+        # Stored, so that the two sides of the cascade don't build the source of the names again.
+        fresh = cut_lineage(distinct.join(self.entries(besides=batch).select("name"), "name", "left_anti"), "fresh")
         folder = f"{self.root}/{BATCH}={batch}"
         resolve_cascade(fresh, index, overrides, cutoff=cutoff, scorer=scorer).write.mode("overwrite").parquet(folder)
         return self.spark.read.parquet(folder).count()

@@ -16,7 +16,7 @@ from pairlab.plans import views
 from pairlab.plans.oracle_views import WITH_GAMES, WITH_STATS, r
 from pairlab.plans.registry import register, rounded
 from pairlab.plans.resolving import _fuzzy_sql
-from pairlab.session import read_table, scratch_path
+from pairlab.session import cut_lineage, read_table, scratch_path
 
 HEX, LETTERS = "0123456789abcdef", "bcdfghklmnprstvw"
 
@@ -94,6 +94,7 @@ def resolve_pairs_fuzzy(spark, sf):
     games = views.games(spark, sf).select(
         "game_id", spelled(F.col("away_id"), turn).alias("away_name"), spelled(F.col("home_id"), turn).alias("home_name")
     )
+    games = cut_lineage(games, "named-games")
     names = NameMap(spark, scratch_path(spark, "names"))
     index, overrides = _index(spark, sf), _overrides(spark, sf)
     for batch in ("away", "home"):
@@ -123,6 +124,7 @@ def entity_period_table_fuzzy(spark, sf):
         (F.col("qty_season") + F.col("sp")).alias("qty_season"),
         "price_season",
     )
+    source = cut_lineage(source, "named-stats")
     names = NameMap(spark, scratch_path(spark, "names"))
     names.extend("all", source, _index(spark, sf), _overrides(spark, sf), scorer="edit")
     resolved = drop_unresolved(names.attach(source, {"name": "entity_id"}), "entity_id")

@@ -374,12 +374,26 @@ def test_fuzzy_join_finds_every_pair(spark, cutoff):
     got = {(r[0], r[1]) for r in fuzzy.edit_candidates(left, right.select("choice_key"), cutoff).collect()}
     want = {(n, c) for n in names for c in choices if score(n, c) >= cutoff}
     assert want <= got
+    for way in (fuzzy._by_bigrams, fuzzy._by_segments):
+        a, b, keys = way(left, right.select("choice_key"), cutoff)
+        assert want <= {(r[0], r[1]) for r in a.join(b, keys).select("name_key", "choice_key").collect()}
     best = {r["name_key"]: (r["score"], r["entity_id"]) for r in fuzzy.best_matches(left, right, cutoff, "edit").collect()}
     for n in names:
         ranked = sorted((-score(n, c), i) for i, c in enumerate(choices) if score(n, c) >= cutoff)
         assert best.get(n) == ((-ranked[0][0], ranked[0][1]) if ranked else None)
 
 
+def test_fuzzy_candidates_grow_with_the_names(spark):
+    """Random names over few letters, all of whose bigrams are common: 1 in 5 of all pairs met before."""
+    rng = random.Random(5)
+    choices = sorted({"".join(rng.choice("bcdfghklmnprstvw") for _ in range(14)) for _ in range(600)})
+    names = [c[:5] + c[6:] for c in choices]
+    left = spark.createDataFrame([(n,) for n in names], "name_key string")
+    right = spark.createDataFrame([(c,) for c in choices], "choice_key string")
+    got = {(r[0], r[1]) for r in fuzzy.edit_candidates(left, right, 80).collect()}
+    assert set(zip(names, choices)) <= got and len(got) < 2 * len(names)
+
+
 @pytest.mark.parametrize("cutoff,seed", [(80, 1), (80, 2), (85, 3), (90, 4)])
 def test_weighted_join_equals_comparing_all(spark, cutoff, seed):
     rng = random.Random(seed)
