@@ -73,6 +73,21 @@ def pair_arith(a: Column, b: Column, prefix: str = "seed", log_floor: float | No
     ]
 
 
+def round_digits(x: Column, digits: int) -> Column:
+    """``F.round`` of doubles, to the last bit, mostly by arithmetic in place of decimal text.
+
+    A value clear of the middle between two results goes to the nearer one, whichever way
+    ties go; any other, and one too large for that to be certain, goes through ``F.round``.
+    ``x`` should be a stored or projected column, as it is used several times.
+    """
+    scaled = x * F.lit(10.0**digits)
+    whole = F.floor(scaled)
+    above = scaled - whole
+    certain = (F.abs(scaled) < 1e9) & (F.abs(above - F.lit(0.5)) > 1e-4)
+    nearest = (whole + F.when(above > 0.5, 1).otherwise(0)).cast("double") / F.lit(10.0**digits)
+    return F.when(certain, nearest).otherwise(F.round(x, digits))
+
+
 def impute_zero(c: Column) -> Column:
     """NULL and NaN → 0, infinities → largest finite double of that sign."""
     big = 1.7976931348623157e308

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.functions.pairmath import diff_bucket, pair_arith, safe_diff, safe_pct_diff
+from pairlab.functions.pairmath import diff_bucket, pair_arith, round_digits, safe_diff, safe_pct_diff
 from pairlab.functions.text import normalize_category
 from pairlab.operators import assemble, features, resolve
 from pairlab.operators.pairs import period_counts, unresolved
@@ -105,10 +105,11 @@ def stat_pctdiff(spark, sf):
     both = df.select("game_id", *sides, *twins)
     plain = features.stat_pctdiffs(both, STATS)
     lowered = features.stat_pctdiffs(both, [f"less25_{s}" for s in STATS], "abs_clip")
-    return both.select(
+    named = both.select("game_id", *plain, *lowered)
+    return named.select(
         "game_id",
-        *[F.round(c, 6).alias(f"pctdiff_{s}") for c, s in zip(plain, STATS)],
-        *[F.round(c, 4).alias(f"pctdiff_less25_{s}") for c, s in zip(lowered, STATS)],
+        *[round_digits(F.col(f"pctdiff_{s}"), 6).alias(f"pctdiff_{s}") for s in STATS],
+        *[round_digits(F.col(f"pctdiff_less25_{s}"), 4).alias(f"pctdiff_less25_{s}") for s in STATS],
     )
 
 

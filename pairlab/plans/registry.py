@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlab.functions.pairmath import round_digits
+from pairlab.session import small_methods
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_small_methods(fn: Query) -> Query:
+    @wraps(fn)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        small_methods(spark)
+        return fn(spark, sf)
+
+    return run
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def wrap(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = _with_small_methods(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -29,7 +42,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column, so that results do not hang on the last bit."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), digits).alias(f.name)
+            round_digits(F.col(f"`{f.name}`"), digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlab.functions.pairmath import LOG_FLOOR
+from pairlab.functions.pairmath import LOG_FLOOR, round_digits
 from pairlab.operators import state
 from pairlab.operators.assemble import pair_dim_join
 from pairlab.operators.features import build_pair_features
@@ -82,4 +82,4 @@ def serving_features(spark, sf):
     query.awaitTermination()
     features = spark.read.parquet(f"{root}/served").drop("served_batch")
     doubles = [f.name for f in features.schema.fields if f.dataType.typeName() == "double"]
-    return features.withColumns({c: F.round(c, _digits(c)) for c in doubles})
+    return features.withColumns({c: round_digits(F.col(c), _digits(c)) for c in doubles})

@@ -34,6 +34,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_methods(spark: SparkSession) -> None:
+    """Let Spark fuse operators only into methods that the JVM compiles, unless the session says otherwise.
+
+    Java interprets methods of more than 8000 bytes for ever. Projections of many columns
+    pass that when they are fused and take many times as long; unfused they are split.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(limit, "65535") == "65535":
+        spark.conf.set(limit, "8000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

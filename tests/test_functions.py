@@ -114,3 +114,41 @@ def test_log_loss_clips(spark, rows):
     df = spark.createDataFrame([(0.0, 1), (1.0, 1), (0.5, 0)], "p double, y int")
     got = [r[0] for r in rows(df.select(probability.log_loss_term(F.col("p"), F.col("y"))))]
     assert got[0] > 30 and got[1] == pytest.approx(0.0, abs=1e-12) and got[2] == pytest.approx(math.log(2))
+
+
+def test_rounding_by_arithmetic_equals_rounding_by_text(spark):
+    rng = np.random.default_rng(4)
+    ties = [(k + 0.5) / 10.0**d for k in range(-60, 60) for d in (4, 6)]
+    odd = [0.0, -0.0, 1e-9, -1e-9, 999.9999995, -999.9999995, 1e3, 123456.7890125, 1e9, 1e15, -1e300, 5e-324, math.nan, math.inf, -math.inf, None]
+    near = [np.nextafter(t, s) for t in ties for s in (-1.0, 1.0)]
+    values = [*ties, *odd, *near, *(rng.normal(size=4000) * 10.0 ** rng.integers(-7, 12, 4000)).tolist()]
+    df = one_column(spark, [None if v is None else float(v) for v in values], "double").repartition(2)
+    for digits in (4, 6):
+        both = df.select("v", pairmath.round_digits(F.col("v"), digits).alias("got"), F.round("v", digits).alias("want")).collect()
+        assert [repr(r["got"]) for r in both] == [repr(r["want"]) for r in both]
+    plan = df.select(pairmath.round_digits(F.col("v"), 6))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "floor" in plan.lower()
+
+
+def test_registered_queries_round_by_arithmetic(spark):
+    from pairlab.plans.registry import rounded
+
+    df = one_column(spark, [1.23456789], "double")
+    assert "floor" in rounded(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rounded(df).head()["v"] == 1.234568
+
+
+def test_queries_fuse_only_what_java_compiles(spark):
+    from pairlab.plans.registry import QUERIES, register
+
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        register("wide_test")(lambda spark, sf: spark.range(1))
+        for given, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(limit, given)
+            QUERIES["wide_test"](spark, "")
+            assert spark.conf.get(limit) == want
+    finally:
+        QUERIES.pop("wide_test", None)
+        spark.conf.set(limit, before)
