@@ -17,48 +17,60 @@ import functools
 import heapq
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairlab.llm.common import as_bytes, input_parts, rows_of, store
+from pairlab.llm.common import as_bytes, input_parts, store
 
 #: The published splitting of the word vocabulary (fixed value).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 #: Characters whose class and composed form no Unicode version has changed (fixed value).
 USUAL = r"\t-\r\x20-\x7e\xa0-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0482\u048a-\u0527\u2010-\u2027\u2030-\u205e\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5"
+#: Bytes of text whose words are looked up together: repeated words then cost a lookup once.
+BATCH = 1 << 22
+#: Marks that commonly stand right behind a word.
+MARKS = pa.array(list(".,;:!?"), pa.large_string())
 
 
 class WordTokens:
-    """Ids of the tokenizers library for one lower-casing word vocabulary, a word at a time.
+    """Ids of the tokenizers library for one lower-casing word vocabulary, many texts at a time.
 
     White space is dropped and words are independent of each other, so texts are split
-    here, their words are looked up in a bounded memo, and the library encodes what the
-    memo lacks. Texts with a special token, or with a character beyond those whose
-    classes all Unicode versions agree on, go to the library whole.
+    here, the distinct words of a batch are looked up in a bounded memo, and the library
+    encodes those that the memo lacks, many in one text. Texts with a special token, or
+    with a character beyond those whose classes all Unicode versions agree on, go to the
+    library whole.
     """
 
-    def __init__(self, path: str, memo: int = 220_000):
+    #: Words that one call of the library takes, and the end of a word's last token.
+    JOINED, LAST = 256, "</w>"
+
+    def __init__(self, path: str, memo: int = 440_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
-        from tokenizers import normalizers
+        from tokenizers import normalizers, pre_tokenizers
 
         self.path, self.memo = path, memo
         self.words = self._library()
         self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.special = [t.content for t in self.words.get_added_tokens_decoder().values() if t.content]
+        vocabulary = self.words.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.is_last[[number for token, number in vocabulary.items() if token.endswith(self.LAST)]] = True
         usual = regex.compile(rf"[{USUAL}]")
         self.usual = np.array([usual.match(chr(i)) is not None for i in range(1 << 16)])
         self.splitter = regex.compile(WORDS)
-        self.units: dict[str, bytes] = {}
-        self.old_units: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.old_known: dict[str, bytes] = {}
 
@@ -80,47 +92,98 @@ class WordTokens:
         codes = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
         return bool(self.usual[codes].all()) and not any(s in text for s in self.special)
 
-    def _split(self, unit: str) -> list[str]:
-        """Words of a unit; letters alone, and letters with one mark behind them, need no pattern."""
-        if unit.isalpha():
-            return [unit]
-        if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
-            return [unit[:-1], unit[-1]]
-        return self.splitter.findall(unit)
-
-    def _learn(self, units: set[str]) -> None:
-        """Bring units (runs without white space) and their words into the memos, of two generations each."""
-        if len(self.known) >= 2 * self.memo:
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word. A word's last token says so, which parts words encoded in one text."""
+        joined = [words[start : start + self.JOINED] for start in range(0, len(words), self.JOINED)]
+        out: list[bytes] = []
+        for some, coded in zip(joined, self.words.encode_batch_fast([" ".join(j) for j in joined], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.is_last[ids]) + 1)).tolist()
+            if len(stops) == len(some) and stops[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *stops], stops)]
+            else:  # a vocabulary that marks no ends
+                one_by_one = self.words.encode_batch_fast(some, add_special_tokens=False)
+                out += [np.array(alone.ids, "<u4").tobytes() for alone in one_by_one]
+        return out
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Packed ids of distinct words, by a memo of two generations."""
+        if len(self.known) >= self.memo:
             self.old_known, self.known = self.known, {}
-        for unit in [u for u in units if u in self.old_units]:
-            self.units[unit] = self.old_units.pop(unit)
-        pieces = {unit: self._split(unit) for unit in units.difference(self.units)}
-        new = {word for words in pieces.values() for word in words}.difference(self.known)
-        for word in [w for w in new if w in self.old_known]:
-            self.known[word] = self.old_known.pop(word)
-        new = list(new.difference(self.known))
-        for word, coded in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[word] = array("I", coded.ids).tobytes()
-        known = self.known
-        for unit, words in pieces.items():
-            self.units[unit] = known[words[0]] if len(words) == 1 else b"".join([known[word] for word in words])
+        known, old = self.known, self.old_known
+        found = list(map(known.get, words))
+        lacking = [at for at, coded in enumerate(found) if coded is None]
+        for at in lacking:
+            found[at] = old.pop(words[at], None)
+        new = [at for at in lacking if found[at] is None]
+        for at, coded in zip(new, self._encode([words[at] for at in new])):
+            found[at] = coded
+        known.update(zip([words[at] for at in lacking], [found[at] for at in lacking]))
+        return found
+
+    def _codes(self, units: pa.Array) -> pa.Array:
+        """Packed ids of distinct units (runs without white space).
+
+        Letters alone, and letters with one mark behind them, need no pattern.
+        """
+        head, mark = pc.utf8_slice_codeunits(units, 0, -1), pc.utf8_slice_codeunits(units, -1)
+        alone = pc.utf8_is_alpha(units).to_numpy(zero_copy_only=False)
+        marked = pc.and_(pc.is_in(mark, MARKS), pc.utf8_is_alpha(head)).to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(~(alone | marked))
+        patterned = [self.splitter.findall(unit) for unit in units.take(pa.array(others)).to_numpy(zero_copy_only=False)]
+        counts = np.where(marked, 2, 1)
+        counts[others] = np.fromiter(map(len, patterned), np.int64, len(patterned))
+        firsts = np.cumsum(counts) - counts
+        rest = pa.array([word for words in patterned for word in words], pa.large_string())
+        words = pa.concat_arrays([units.filter(pa.array(alone)), head.filter(pa.array(marked)), mark.filter(pa.array(marked)), rest])
+        words = words.dictionary_encode()
+        every = np.arange(counts.sum())
+        places = [firsts[alone], firsts[marked], firsts[marked] + 1, every[np.repeat(~(alone | marked), counts)]]
+        order = np.empty(len(every), np.int64)
+        order[np.concatenate(places)] = words.indices.to_numpy()
+        coded = pa.array(self._look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(pa.array(order))
+        stops = _stops(coded)[np.append(firsts, len(every))]
+        return pa.Array.from_buffers(pa.large_binary(), len(units), [None, pa.py_buffer(stops), coded.buffers()[2]])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        usual = [t.replace("Σ", "σ").lower().split() if self._is_usual(t) else None for t in texts]
-        if len(self.units) >= self.memo:
-            self.old_units, self.units = self.units, {}
-        self._learn(set().union(*[u for u in usual if u]).difference(self.units))
+        usual = [self._is_usual(text) for text in texts]
+        lowered = [text.replace("Σ", "σ").lower() if u else "" for text, u in zip(texts, usual)]
+        lists = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        units = lists.flatten().dictionary_encode()
+        coded = self._codes(units.dictionary).take(units.indices)
+        bounds = _stops(coded)[lists.offsets.to_numpy()].tolist()
+        data = memoryview(coded.buffers()[2] or b"")
         out = []
-        for text, units in zip(texts, usual):
-            if units is None:
+        for text, u, start, stop in zip(texts, usual, bounds, bounds[1:]):
+            if u:
+                out.append(bytes(data[start:stop]))
+            else:
                 ids = self.whole.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.units.__getitem__, units)))
         return out
 
 
+def _stops(coded: pa.Array) -> np.ndarray:
+    """Where each value begins in the bytes of a fresh array, and where the last one ends."""
+    if not len(coded):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(coded.buffers()[1], np.int64)[: len(coded) + 1]
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, or of one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(int(np.searchsorted(ends, before + size, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 @functools.cache
 def load_words(path: str) -> WordTokens:
     """One tokenizer per worker process and file."""
@@ -140,7 +203,7 @@ def token_pieces(
 
     def run(batches):
         tokens = load_words(path)
-        for batch in rows_of(batches, 128):
+        for batch in _by_bytes(batches, BATCH):
             rows, pieces, lengths, sums, kept = [], [], [], [], []
             texts = [data.decode("utf-8", "replace") for data in batch.column("text").to_pylist()]
             for row, coded in enumerate(tokens(texts)):

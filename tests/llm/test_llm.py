@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pairlab.llm.components import connected_components
 from pairlab.llm.importance import kth_largest, keep_sampled, resample
 from pairlab.llm.langid import identify_languages, keep_identified
 from pairlab.llm.metric_join import cosine_components
-from pairlab.llm.packing import load_words, pack_documents, plan_packing
+from pairlab.llm.packing import WordTokens, load_words, pack_documents, plan_packing
 from pairlab.llm.quality_rules import apply_rules, measure
 from pairlab.llm.sharding import assign_shards, number_slots, write_shards
 from pairlab.llm.simhash import BKTree, keep_first_of_groups, shard_blocks, simhash_components
@@ -91,6 +92,39 @@ def test_word_tokens_match_the_library():
         assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_word_tokens_encode_new_words_together():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, words):
+            self.words, self.given = words, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.given += texts
+            return self.words.encode_batch_fast(texts, **options)
+
+    random.seed(14)
+    library, tokens = Tokenizer.from_file(WORD), WordTokens(WORD, memo=300)
+    tokens.words = Counted(tokens.words)
+    made = ["".join(random.choices("abcdefgé", k=random.randint(5, 9))) for _ in range(1000)]
+    texts = [" ".join(random.choice(made) + random.choice(["", "", ".", "!?", "'s", "7"]) for _ in range(n)) for n in (0, 1, 400, 400, 400)]
+    for _ in range(3):  # the memo loses words between
+        assert [np.frombuffer(c, "<u4").tolist() for c in tokens(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(tokens.words.given) < 30
+    tokens.words.given.clear()
+    assert tokens([]) == [] and tokens(["", " \n"]) == [b"", b""] and not tokens.words.given
+    tokens.is_last[:] = False  # without marked ends each word is encoded alone
+    assert np.frombuffer(tokens(["new Words, x9"])[0], "<u4").tolist() == library.encode("new Words, x9", add_special_tokens=False).ids
+
+
+def test_batches_are_cut_by_bytes():
+    from pairlab.llm.packing import _by_bytes
+
+    texts = [b"", b"abc", b"de", b"fghijklm", b"", b"n", b"o"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert [b.column("text").to_pylist() for b in _by_bytes([batch, batch.slice(3, 0)], 5)] == [texts[:3], texts[3:4], texts[4:]]
+
+
 @pytest.mark.parametrize("capacity", [1, 2, 7, 30, 100])
 def test_plan_places_every_piece_once(capacity):
     random.seed(capacity)
