@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlab.operators.ranking import top_per_key
+from pairlab.session import keep_partitions
 
 VARIANTS = ("season", "last3", "last1", "home", "away", "prior")
 
@@ -158,6 +160,7 @@ def pair_dim_join(
     sides: Mapping[str, str],
     drop: Sequence[str] = (),
     salts: int = 1,
+    blocks: int = 1,
 ) -> DataFrame:
     """Join the entity table once per side: ``{'a': 'a_id', 'b': 'b_id'}`` → ``a_*``, ``b_*``.
 
@@ -165,18 +168,55 @@ def pair_dim_join(
     merges; adaptive execution splits an entity that is in very many pairs. With
     ``salts`` > 1 the pairs of every entity are spread over that many copies of
     its single row, for clusters where that split is switched off.
+
+    One join after the other carries the first side's columns through the shuffle of the
+    second. With ``blocks`` > 1 pairs travel once, without any: entities fall into that
+    many cells by their hash, and period and both sides' cells name the block where a pair
+    meets copies of its entities' rows. Two sides send ``2 * blocks`` copies of the table,
+    at every size of it, and the pairs of an entity and period are spread over ``blocks``
+    of the blocks; it pays where an entity is in more pairs of a period than that. It needs
+    joins that keep partitions, which it sets for the session. Ids that are not integers or
+    texts of one type on both frames are joined one after the other.
     """
+    salt = ["_salt"] if salts > 1 else []
+    cells = {prefix: f"_cell_{prefix}" for prefix in sides} if blocks > 1 and _same_hash(pairs, stats, entity, sides) else {}
+    names = list(pairs.columns)
     out = pairs
+    if salt:
+        out = out.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.lit(salts)).cast("int"))
+    out = out.withColumns({cells[prefix]: _cell(key, blocks) for prefix, key in sides.items() if cells})
+    block = [period, *cells.values(), *salt]
+    if cells:
+        keep_partitions(pairs.sparkSession)
+        out = out.repartition(*block)
     for prefix, key in sides.items():
         renamed = prefix_rename(stats, prefix, keep=(entity, period), drop=drop)
         renamed = renamed.withColumnRenamed(entity, key)
-        on = [key, period]
-        if salts > 1:
-            renamed = renamed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            out = out.withColumn("_salt", F.pmod(F.xxhash64(*pairs.columns), F.lit(salts)).cast("int"))
-            on.append("_salt")
-        out = out.join(renamed, on, "left").drop("_salt")
-    return out
+        added = [c for c in renamed.columns if c not in (key, period)]
+        names = [key, period, *[c for c in names if c not in (key, period)], *added]
+        if salt:
+            renamed = renamed.withColumn("_salt", _each(salts))
+        for other, cell in cells.items():
+            renamed = renamed.withColumn(cell, _cell(key, blocks) if other == prefix else _each(blocks))
+        if cells:
+            renamed = renamed.repartition(*block)
+        out = out.join(renamed, [key, *block], "left")
+    return out.select(*[F.col(f"`{c}`") for c in names])
+
+
+def _cell(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(blocks)).cast("int")
+
+
+def _each(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _same_hash(pairs: DataFrame, stats: DataFrame, entity: str, sides: Mapping[str, str]) -> bool:
+    """Do equal ids of all sides have equal hashes? Numbers of several types, and floating ones, need not."""
+    kind = stats.schema[entity].dataType
+    exact = isinstance(kind, T.IntegralType) or kind == T.StringType()
+    return exact and all(pairs.schema[key].dataType == kind for key in sides.values())
 
 
 def prefix_rename(df: DataFrame, prefix: str, keep: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:

@@ -41,6 +41,8 @@ COMPOSITES = (
 # Weights of the deterministic base predictors: seed difference, price, quantity.
 BASE_WEIGHTS = ((-0.08, 0.00002, 0.01), (-0.03, 0.00005, 0.02), (-0.12, 0.0, 0.05), (0.0, 0.00008, -0.02))
 SUPPLIER_SEEDS = 16
+# A supplier is in some forty contests of a year, so eight copies of its statistics are less than theirs.
+BLOCKS = 4
 
 
 def view(build):
@@ -178,15 +180,8 @@ def games(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFram
         pick(ROUND_TEXTS).alias("bracket_round"),
         pick(REGIONS).alias("bracket_region"),
     )
-    dim = profiles(spark, sf)
-    for side in ("away", "home"):
-        columns = [F.col(c).alias(f"{side}_{c}") for c in ("name", "seed", *extra)]
-        dated = dated.join(
-            dim.select(F.col("entity_id").alias(f"{side}_id"), "period", *columns),
-            [f"{side}_id", "period"],
-            "left",
-        )
-    return dated
+    dim = profiles(spark, sf).select("entity_id", "period", "name", "seed", *extra)
+    return pair_dim_join(dated, dim, "entity_id", "period", {"away": "away_id", "home": "home_id"}, blocks=BLOCKS)
 
 
 PAIR_KEEP = ("game_id", "period", "game_date", "bracket_round", "bracket_region")
@@ -206,6 +201,7 @@ def joined_pairs(spark: SparkSession, sf: str) -> DataFrame:
         "period",
         {"a": "a_id", "b": "b_id"},
         drop=("entity_name", "n_facts"),
+        blocks=BLOCKS,
     )
 
 

@@ -45,6 +45,14 @@ def small_methods(spark: SparkSession) -> None:
         spark.conf.set(limit, "8000")
 
 
+def keep_partitions(spark: SparkSession) -> None:
+    """Let joins keep frames that lie together by some of their keys, instead of dealing both anew by all.
+
+    It changes no result and holds for the session from then on.
+    """
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 

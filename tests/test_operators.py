@@ -21,6 +21,7 @@ from pairlab.operators import (
     resolve,
     selection,
 )
+from pairlab.plans import views
 
 
 def test_orientation_covers_every_case(spark, rows):
@@ -92,6 +93,41 @@ def test_pair_join_with_salts_is_the_same(spark, rows):
     assert rows(plain, "g") == rows(salted, "g")
 
 
+@pytest.mark.parametrize("salts", [1, 3])
+def test_pairs_meet_both_sides_in_one_shuffle(spark, rows, salts):
+    games = [(i, i % 7 if i % 9 else None, f"n{i % 5}", 2000 + i % 3 if i % 11 else None) for i in range(200)]
+    df = spark.createDataFrame(games, "g int, a_id int, name string, period int").withColumn("b_id", F.col("g") * 3 % 8)
+    stats = spark.createDataFrame([(e, p, e + p / 10000, "x") for e in range(6) for p in (2000, 2001)], "id int, period int, s double, t string")
+    sides = {"a": "a_id", "b": "b_id"}
+    plain = assemble.pair_dim_join(df, stats, "id", "period", sides, drop=["t"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = assemble.pair_dim_join(df, stats, "id", "period", sides, drop=["t"], salts=salts, blocks=3)
+        assert met.columns == plain.columns
+        assert rows(met, "g") == rows(plain, "g") and met.filter("a_s is null").count() > 20
+        planned = met._jdf.queryExecution().executedPlan().toString()
+        assert planned.count("Exchange hashpartitioning") == 3, planned  # pairs, and the table for each side
+        wider = stats.withColumn("id", F.col("id").cast("bigint"))  # equal ids of two types have other hashes
+        assert rows(assemble.pair_dim_join(df, wider, "id", "period", sides, drop=["t"], blocks=3), "g") == rows(plain, "g")
+        named = assemble.pair_dim_join(df, stats.withColumn("id", F.concat(F.lit("n"), "id")), "id", "period", {"a": "name"}, blocks=3)
+        assert named.filter("a_s is not null").count() == df.filter("period < 2002").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contests_cross_no_shuffle_with_statistics(spark):
+    """The statistics of one side do not travel with the contests to the other side's."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = views.joined_pairs(spark, "/root/testdata/sf0.001").select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = plan[plan.index("SortMergeJoin") :]
+    joins = [i for i, line in enumerate(last.splitlines()) if "SortMergeJoin" in line]
+    between = last.splitlines()[joins[0] : joins[1]]
+    assert not any("Exchange" in line for line in between), between
+
+
 def test_ids_are_consecutive_over_partitions(spark, rows):
     names = [f"n{random.Random(i).random():.12f}" for i in range(500)]
     df = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
