@@ -56,7 +56,7 @@ FROM arrived"""
 
 def pair_server(batch, stats):
     """The serving form: logarithms floored at half a seed, averages floored by their absolute value."""
-    wide = pair_dim_join(batch, stats, "entity_id", "period", {"a": "a_id", "b": "b_id"})
+    wide = pair_dim_join(batch, stats, "entity_id", "period", {"a": "a_id", "b": "b_id"}, blocks=views.BLOCKS)
     built = build_pair_features(wide, STATS, views.COMPOSITES, denominator="abs_clip", log_floor=LOG_FLOOR)
     generated = [c for c in built.columns if c not in wide.columns]
     return built.select("game_id", *generated)

@@ -21,7 +21,7 @@ from pairlab.operators import (
     resolve,
     selection,
 )
-from pairlab.plans import views
+from pairlab.plans import serving, views
 
 
 def test_orientation_covers_every_case(spark, rows):
@@ -115,17 +115,26 @@ def test_pairs_meet_both_sides_in_one_shuffle(spark, rows, salts):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_contests_cross_no_shuffle_with_statistics(spark):
-    """The statistics of one side do not travel with the contests to the other side's."""
+def exchanges_between_joins(spark, build):
+    """Exchanges between the last join and the one below it on its left, where nothing is broadcast."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = views.joined_pairs(spark, "/root/testdata/sf0.001").select("*")._jdf.queryExecution().executedPlan().toString()
+        plan = build().select("*")._jdf.queryExecution().executedPlan().toString().splitlines()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    last = plan[plan.index("SortMergeJoin") :]
-    joins = [i for i, line in enumerate(last.splitlines()) if "SortMergeJoin" in line]
-    between = last.splitlines()[joins[0] : joins[1]]
-    assert not any("Exchange" in line for line in between), between
+    joins = [i for i, line in enumerate(plan) if "SortMergeJoin" in line]
+    return [line for line in plan[joins[0] : joins[1]] if "Exchange" in line]
+
+
+def test_contests_cross_no_shuffle_with_statistics(spark):
+    """The statistics of one side do not travel with the contests to the other side's."""
+    assert not exchanges_between_joins(spark, lambda: views.joined_pairs(spark, "/root/testdata/sf0.001"))
+
+
+def test_arriving_contests_cross_no_shuffle_with_statistics(spark):
+    stats = views.entity_stats(spark, "/root/testdata/sf0.001").drop("entity_name", "n_facts")
+    batch = views.pairs(spark, "/root/testdata/sf0.001").select(*serving.ARRIVING).limit(50)
+    assert not exchanges_between_joins(spark, lambda: serving.pair_server(batch, stats))
 
 
 def test_ids_are_consecutive_over_partitions(spark, rows):
